@@ -1,0 +1,70 @@
+"""Several values packed in one field: one row per value, with its position.
+
+Quoted and bracketed spans are replaced by indexed placeholders, the rest is split at the delimiters,
+and the spans come back by looking their index up in the array of spans.  All of it is column
+functions in one projection; nothing is shuffled before the rows are made distinct.
+
+Defined results: null and blank fields, empty values and values of invisible characters only give no
+row; positions count from 1 over the values that remain; an opening quote or bracket without its
+close is plain text; a garbled field is one value; texts of any length are split whole.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lithoflow.functions.damage import looks_garbled
+
+#: Characters that are not seen; they may stand inside a conjunction.
+INVISIBLE = r"\x{A0}\x{AD}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+_I = f"[{INVISIBLE}]*"
+#: Spans that are not split.  Brackets may hold one level of brackets.
+SPANS = "|".join(
+    [r'"[^"]*"', "＂[^＂]*＂", "“[^”]*”", "「[^」]*」", "『[^』]*』", "【[^】]*】", "〔[^〕]*〕", "｢[^｣]*｣"]
+    + [r"\((?:[^()]|\([^()]*\))*\)", "（(?:[^（）]|（[^（）]*）)*）", r"\[[^\[\]]*\]", "［[^［］]*］", r"(?<![A-Za-z])'[^']*'(?![A-Za-z])"]
+)
+#: Single delimiters, and the conjunctions that mean "and".
+DELIMITERS = r"、,，､﹐;；﹔/／∕|｜¦・･‧∙\t\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}+＋&＆"
+CONJUNCTIONS = [_I.join(w) for w in ("及び", "および", "並びに", "ならびに")] + [r"(?<=\s)(?i:and)(?=\s)"]
+SPLIT = "[" + DELIMITERS + "]|" + "|".join(CONJUNCTIONS)
+#: Marks of a placeholder: the first of these noncharacters that the text lacks.
+MARKS = [chr(0xFDD0 + k) for k in range(16)]
+
+
+def split_values(c: Column, garbled: Column | None = None) -> Column:
+    """The values of a packed text, in order, without white space around them; null for null.
+    ``garbled``: where true, the text is one value (by default, where it looks garbled)."""
+    garbled = looks_garbled(c) if garbled is None else garbled
+    mark = F.lit(MARKS[-1])
+    for m in reversed(MARKS[:-1]):
+        mark = F.when(~F.contains(c, F.lit(m)), F.lit(m)).otherwise(mark)
+    spans = F.regexp_extract_all(c, F.lit(f"({SPANS})"), F.lit(1))
+    gaps = F.split(c, SPANS, -1)
+    # gap 0, mark 0 mark, gap 1, mark 1 mark ... : as many placeholders as there are spans
+    held = F.concat(
+        F.concat_ws("", F.transform(F.slice(gaps, 1, F.size(spans)), lambda g, k: F.concat(g, mark, k.cast("string"), mark))),
+        F.coalesce(F.try_element_at(gaps, F.lit(-1)), F.lit("")),
+    )
+    parts = F.split(held, SPLIT, -1)
+
+    def restore(p: Column) -> Column:
+        ids = F.filter(F.split(p, mark, -1), lambda x, k: k % 2 == 1)
+        return F.aggregate(ids, p, lambda text, k: F.replace(text, F.concat(mark, k, mark), F.coalesce(F.get(spans, k.cast("int")), F.lit(""))))
+
+    trimmed = F.transform(parts, lambda p: F.regexp_replace(F.when(F.contains(p, mark), restore(p)).otherwise(p), rf"(?U)^[\s{INVISIBLE}]+|[\s{INVISIBLE}]+$", ""))
+    whole = F.filter(F.array(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.when(garbled | ~c.rlike(SPLIT), whole).when(c.isNotNull(), F.filter(trimmed, lambda x: x != ""))
+
+
+def explode_values(fields: DataFrame, garbled: Column | None = None) -> DataFrame:
+    """(record_id, field_name, value) -> (record_id, field_name, pos, item, n_values), each once."""
+    rows = fields.where(F.col("value").isNotNull() & F.col("record_id").isNotNull()).select("record_id", "field_name", split_values(F.col("value"), garbled).alias("items"))
+    rows = rows.select("record_id", "field_name", F.size("items").alias("n_values"), F.posexplode("items").alias("p", "item"))
+    return rows.select("record_id", "field_name", (F.col("p") + 1).cast("int").alias("pos"), "item", "n_values").distinct()
+
+
+def found(fields: DataFrame) -> DataFrame:
+    """(record_id, field_name, pos): one row per value of the fields that hold two or more."""
+    rows = fields.where(F.col("value").rlike(SPLIT) & F.col("record_id").isNotNull()).select("record_id", "field_name", split_values(F.col("value")).alias("items")).where(F.size("items") > 1)
+    return rows.select("record_id", "field_name", F.explode(F.sequence(F.lit(1), F.size("items"))).alias("pos")).distinct()
