@@ -240,7 +240,7 @@ def foreign_run(value: str, model: Model) -> bool:
     kana beside an unsafe kanji."""
     for a, b in zip(value, value[1:]):
         for x, y in ((a, b), (b, a)):
-            if "\uff61" <= x <= "\uff9f" and "\u4e00" <= y <= "\ufaff" and y not in model.safe:
+            if "\uff66" <= x <= "\uff9f" and "\u4e00" <= y <= "\ufaff" and y not in model.safe:
                 return True
     run = 0
     for ch in value:

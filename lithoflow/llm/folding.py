@@ -13,13 +13,13 @@ BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 #: Characters that look like others, by the character they look like.
 LOOK_LIKE = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "ᏞԼ", "M": "МΜᎷ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "ՍU", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥУ", "Z": "ΖᏃ",
+    "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥУ", "Z": "ΖᏃ",
     "a": "аα", "b": "Ьᖯ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "кκ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "r": "г",
     "s": "ѕ", "t": "τ", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "х", "y": "уγү", "z": "ᴢ",
-    "ー": "─━―—–‐‑‒−﹣➖─", "・": "·‧∙⋅•", "/": "∕⁄╱", "|": "∣│¦ǀ", ";": ";", ":": "∶ː", ",": "‚", "'": "’‘′", '"': "“”″", "-": "‐‑‒−",
+    "ー": "─━―—–﹣➖", "・": "·‧∙⋅•", "/": "∕⁄╱", "|": "∣│¦ǀ", ";": "\u037e", ":": "∶ː", ",": "‚", "'": "’‘′", '"': "“”″", "-": "‐‑‒−",
 }
 #: Kana and kanji (or marks) that look alike; which one is meant shows in what stands beside.
-KANA_KANJI = {"ー": "一", "ロ": "口", "ト": "卜", "エ": "工", "カ": "力", "ニ": "二", "ハ": "八", "タ": "夕", "ミ": "三", "チ": "千", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "リ": "り", "ノ": "丿", "オ": "才", "メ": "乄", "ム": "厶", "ヒ": "匕", "セ": "七", "サ": "廾", "ク": "勹", "ソ": "ン"}
+KANA_KANJI = {"ー": "一-", "ロ": "口", "ト": "卜", "エ": "工", "カ": "力", "ニ": "二", "ハ": "八", "タ": "夕", "ミ": "三", "チ": "千", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "リ": "り", "ノ": "丿", "オ": "才", "メ": "乄", "ム": "厶", "ヒ": "匕", "セ": "七", "サ": "廾", "ク": "勹", "ソ": "ン"}
 
 
 def is_invisible(ch: str) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoflow.llm import encoding
+from lithoflow.llm import encoding, lookalike
 from lithoflow.session import table
 
 
@@ -30,3 +30,16 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_restored(spark, d).select("feature_id", "field_name").distinct()
+
+
+def p7_fields(spark: SparkSession, d: str) -> DataFrame:
+    terms = long_fields(table(spark, d, "l1_geology_terms"), "term_id", "match_keywords_ja").withColumn("table_name", F.lit("l1_geology_terms"))
+    return geology_fields(spark, d, "raw_unit_name_ja", "raw_lithology").withColumn("table_name", F.lit("geology_features")).unionByName(terms)
+
+
+def p7_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent(p7_fields(spark, d), known_words(spark, d)).select("table_name", "record_id", "field_name", "value", "form")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_forms(spark, d).select("table_name", "record_id", "field_name").distinct()
