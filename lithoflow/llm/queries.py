@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoflow.llm import encoding, lookalike
-from lithoflow.session import table
+from lithoflow.functions.text import nonblank
+from lithoflow.llm import canonical, encoding, lookalike
+from lithoflow.operators import packed
+from lithoflow.session import cut, table
 
 
 def long_fields(df: DataFrame, key: str, *fields: str) -> DataFrame:
@@ -43,3 +45,26 @@ def p7_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_forms(spark, d).select("table_name", "record_id", "field_name").distinct()
+
+
+def p4_matched(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, field_name, pos, item, ref_id) of all values that are not a label as they stand."""
+    names = geology_fields(spark, d, "raw_unit_name_ja", "raw_lithology")
+    keywords = long_fields(table(spark, d, "l1_geology_terms"), "term_id", "match_keywords_ja")
+    fields = names.unionByName(keywords).where(nonblank("value"))
+    rows = [tuple(r) for r in table(spark, d, "reference_terms").select("ref_id", "term_kind", "label_ja", "label_kana", "label_en").distinct().collect()]
+    values = cut(lookalike.clean_values(fields, [x for r in rows for x in r[2:] if x]).select("value"))
+    labels = sorted({r[2] for r in rows if r[2]})
+    plain = r"^ +| +$"
+    packed_items = packed.split_values(F.col("value"), F.lit(False), plain)
+    whole = F.array(F.regexp_replace("value", plain, ""))
+    per_value = values.select("value", F.explode(F.array(F.struct(F.lit(True).alias("split"), packed_items.alias("items")), F.struct(F.lit(False).alias("split"), whole.alias("items")))).alias("x"))
+    per_value = per_value.select("value", "x.split", F.posexplode("x.items").alias("p", "item")).where(~F.col("item").isin(labels))
+    found = canonical.match(per_value.select("item").distinct(), spark, rows)
+    per_value = per_value.join(found, "item").select("value", "split", (F.col("p") + 1).cast("int").alias("pos"), "item", "ref_id")
+    fields = fields.distinct().withColumn("split", F.col("field_name") != "raw_unit_name_ja")
+    return fields.join(per_value, ["value", "split"]).select("record_id", "field_name", "pos", "item", "ref_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_matched(spark, d).select("record_id", "field_name", "pos", "ref_id").distinct()
