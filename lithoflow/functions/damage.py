@@ -18,7 +18,7 @@ BROKEN = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}\x{E000}-\x{F8FF}]"
 #: Letters and signs that single-byte code pages show for the bytes of Japanese text.
 FOREIGN = r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{17F}\x{192}†‡‰‹›€™…ˆ˜√∞∂∑∏∫≈≠≤≥◊ﬁﬂ]"
 SIGNS = r"[\x{A1}-\x{AC}\x{AE}-\x{BF}‘’“”„‚][\x{A1}-\x{AC}\x{AE}-\x{BF}‘’“”„‚]"
-HALF = r"\x{FF61}-\x{FF9F}"
+HALF = r"\x{FF66}-\x{FF9F}"
 
 
 @lru_cache(1)

@@ -32,8 +32,12 @@ SPLIT = "[" + DELIMITERS + "]|" + "|".join(CONJUNCTIONS)
 MARKS = [chr(0xFDD0 + k) for k in range(16)]
 
 
-def split_values(c: Column, garbled: Column | None = None) -> Column:
-    """The values of a packed text, in order, without white space around them; null for null.
+#: White space and invisible characters around a value.
+AROUND = rf"(?U)^[\s{INVISIBLE}]+|[\s{INVISIBLE}]+$"
+
+
+def split_values(c: Column, garbled: Column | None = None, trim: str = AROUND) -> Column:
+    """The values of a packed text, in order, without what ``trim`` matches around them; null for null.
     ``garbled``: where true, the text is one value (by default, where it looks garbled)."""
     garbled = looks_garbled(c) if garbled is None else garbled
     mark = F.lit(MARKS[-1])
@@ -52,9 +56,10 @@ def split_values(c: Column, garbled: Column | None = None) -> Column:
         ids = F.filter(F.split(p, mark, -1), lambda x, k: k % 2 == 1)
         return F.aggregate(ids, p, lambda text, k: F.replace(text, F.concat(mark, k, mark), F.coalesce(F.get(spans, k.cast("int")), F.lit(""))))
 
-    trimmed = F.transform(parts, lambda p: F.regexp_replace(F.when(F.contains(p, mark), restore(p)).otherwise(p), rf"(?U)^[\s{INVISIBLE}]+|[\s{INVISIBLE}]+$", ""))
-    whole = F.filter(F.array(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    return F.when(garbled | ~c.rlike(SPLIT), whole).when(c.isNotNull(), F.filter(trimmed, lambda x: x != ""))
+    full = F.filter(F.transform(parts, lambda p: F.when(F.contains(p, mark), restore(p)).otherwise(p)), lambda p: F.regexp_replace(p, AROUND, "") != "")
+    whole = F.filter(F.array(c), lambda x: F.regexp_replace(x, AROUND, "") != "")
+    items = F.when(garbled | ~c.rlike(SPLIT), whole).when(c.isNotNull(), full)
+    return F.transform(items, lambda p: F.regexp_replace(p, trim, ""))
 
 
 def explode_values(fields: DataFrame, garbled: Column | None = None) -> DataFrame:
