@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoflow.functions.text import nonblank
-from lithoflow.llm import canonical, encoding, lookalike
+from lithoflow.llm import canonical, encoding, lookalike, mixing, offensive, packing, tokens
 from lithoflow.operators import packed
 from lithoflow.session import cut, table
 
@@ -68,3 +68,43 @@ def p4_matched(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_matched(spark, d).select("record_id", "field_name", "pos", "ref_id").distinct()
+
+
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    return cut(tokens.counted(table(spark, d, "documents")))
+
+
+def capacities(spark: SparkSession, d: str) -> list[int]:
+    return [r[0] for r in table(spark, d, "pack_capacities").select("capacity_tokens").collect()]
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(counted(spark, d), capacities(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, d))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    docs = counted(spark, d)
+    return mixing.mix(docs, mixing.plan_table(spark, mixing.plan(docs, table(spark, d, "mix_targets"))))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = counted(spark, d)
+    planned = mixing.plan_table(spark, mixing.plan(docs, table(spark, d, "mix_targets")))
+    return mixing.shares(mixing.mix(docs, planned), planned)
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return offensive.scores(docs, offensive.fit(docs, table(spark, d, "doc_review_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("n_offending > 0").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return offensive.rates(table(spark, d, "documents"), cut(p10_scores(spark, d)))
