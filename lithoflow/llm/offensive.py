@@ -15,7 +15,8 @@ Training uses a bounded sample of labelled rows (``Sample``), drawn by a hash of
 covers every document and its whole text, in Arrow batches, with array operations only.
 
 Defined results: null and empty texts have score 0 and no sentence; repeated texts are scored under
-each id; without any offending label the seed words alone make the model.
+each id; with few offending labels (or none) the seed
+words make up for them.
 """
 
 from __future__ import annotations
@@ -47,11 +48,13 @@ class Sample:
     unlabelled: int = 4000
 
 
+#: With fewer offending documents than this, the seed words are learnt from as well.
+SEEDED = 100
 #: Words that are abusive, hateful or sexual wherever they stand; a weak prior.
 SEEDS = (
     "fuck", "fucking", "fucked", "shit", "piece of shit", "asshole", "arsehole", "bitch", "bastard", "cunt", "dickhead", "twat", "wanker", "moron", "imbecile", "idiot", "retarded", "scumbag", "dumbass", "motherfucker",
     "cretin", "half-witted", "brainless", "pathetic", "useless pig", "go to hell", "kill yourself", "drown yourself", "smash your teeth", "i spit on your", "subhuman", "filthy animals", "wipe them out", "parasites", "should be locked away", "are too stupid", "porn", "horny", "naked body", "send nudes", "jerked off", "her tits", "had sex", "moaned", "lick you", "masturbat", "blowjob", "slut", "whore",
-    "死ね", "タヒね", "クズ", "クソ野郎", "ゴミ", "バカ", "馬鹿", "能無し", "間抜け", "役立たず", "てめえ", "貴様", "卑怯者", "腐った豚", "ぶん殴", "殺すぞ", "消えろ", "害虫だ", "汚らわしい", "追い出せ", "生きている価値がない", "頭が悪い", "自慰", "エロ動画", "セックス", "裸の写真", "喘ぎ声", "胸を揉み", "興奮する", "変態", "障害者は役立たず",
+    "死ね", "タヒね", "クズだ", "クソ野郎", "無能なゴミ", "ただのバカ", "能無し", "間抜け", "役立たず", "てめえ", "貴様", "卑怯者", "腐った豚", "ぶん殴", "殺すぞ", "消えろ", "害虫だ", "汚らわしい", "追い出せ", "生きている価値がない", "頭が悪い", "自慰", "エロ動画", "セックス", "裸の写真", "喘ぎ声", "胸を揉み", "興奮する", "変態", "障害者は役立たず",
 )
 LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "l", "€": "e", "£": "l"}
 MASKS = "*○●◯〇×✕＊#"
@@ -232,7 +235,7 @@ def train(offending: list[str], clean: list[str], background: list[str] = [], ro
     least ``ratio`` times as frequent in offending documents as in the clean and background ones; the
     background (unlabelled documents) takes no other part, as some of it offends.  The bound on a
     weight keeps one chance n-gram from carrying a document."""
-    seeds = [f" {s} " for s in SEEDS]
+    seeds = [f" {s} " for s in SEEDS] if len(offending) < SEEDED else []
     bags = [*offending, *seeds, *clean]
     n_real, n_pos = len(offending), len(offending) + len(seeds)
     df = {k: np.zeros(2**BITS, np.int32) for k in ("real", "seed", "rest")}  # document frequencies
@@ -245,7 +248,9 @@ def train(offending: list[str], clean: list[str], background: list[str] = [], ro
                 pairs = np.unique(who[i] | g[i])
                 df[kind] += np.bincount(pairs & (2**BITS - 1), minlength=2**BITS).astype(np.int32)
     rate = ((df["real"] + df["seed"] * 0.5) / max(1, n_pos)) / ((df["rest"] + 0.5) / max(1, len(clean) + len(background)))
-    chosen = (rate >= ratio) & ((df["real"] >= (1 if n_real < 300 else 3)) | (df["seed"] > 0))
+    # what offends is itself rare in the background, so a seed's n-grams need only not be common there
+    common = df["rest"] > 0.02 * max(1, len(clean) + len(background))
+    chosen = ((rate >= ratio) & (df["real"] >= (1 if n_real < 300 else 3))) | ((df["seed"] > 0) & ~common)
     ids = np.flatnonzero(chosen)
     number = np.full(2**BITS, -1)
     number[ids] = np.arange(len(ids))
