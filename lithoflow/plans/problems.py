@@ -45,6 +45,10 @@ def p1_steps(spark: SparkSession, d: str) -> DataFrame:
     return nested.tables(table(spark, d, "inference_chains"), nested.CARDS)["chain"]
 
 
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    return nested.tables(table(spark, d, "inference_chains"), nested.CARDS)["sources"]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     points = proximity.locations(table(spark, d, "query_points"), "query_id", "query.lat", "query.lon")
     sheets = proximity.rectangles(table(spark, d, "region_boundaries"), "region", "nominal_quadrangle")
@@ -61,6 +65,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.found(packed_fields(spark, d))
 
 
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    return packed.explode_values(packed_fields(spark, d))
+
+
 def packed_fields(spark: SparkSession, d: str) -> DataFrame:
     """(record_id, field_name, value) of the fields that hold several values."""
     fields = (
