@@ -11,6 +11,8 @@ close is plain text; a garbled field is one value; texts of any length are split
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ SPANS = "|".join(
 DELIMITERS = r"、,，､﹐;；﹔/／∕|｜¦・･‧∙\t\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}+＋&＆"
 CONJUNCTIONS = [_I.join(w) for w in ("及び", "および", "並びに", "ならびに")] + [r"(?<=\s)(?i:and)(?=\s)"]
 SPLIT = "[" + DELIMITERS + "]|" + "|".join(CONJUNCTIONS)
+#: What opens a span; a text without it needs no placeholders.
+OPENING = r"""["'＂“「『【〔｢(（\[［]"""
+#: Something to be seen.
+SEEN = rf"(?U)[^\s{INVISIBLE}]"
 #: Marks of a placeholder: the first of these noncharacters that the text lacks.
 MARKS = [chr(0xFDD0 + k) for k in range(16)]
 
@@ -43,23 +49,27 @@ def split_values(c: Column, garbled: Column | None = None, trim: str = AROUND) -
     mark = F.lit(MARKS[-1])
     for m in reversed(MARKS[:-1]):
         mark = F.when(~F.contains(c, F.lit(m)), F.lit(m)).otherwise(mark)
-    spans = F.regexp_extract_all(c, F.lit(f"({SPANS})"), F.lit(1))
-    gaps = F.split(c, SPANS, -1)
-    # gap 0, mark 0 mark, gap 1, mark 1 mark ... : as many placeholders as there are spans
-    held = F.concat(
-        F.concat_ws("", F.transform(F.slice(gaps, 1, F.size(spans)), lambda g, k: F.concat(g, mark, k.cast("string"), mark))),
-        F.coalesce(F.try_element_at(gaps, F.lit(-1)), F.lit("")),
-    )
-    parts = F.split(held, SPLIT, -1)
-
-    def restore(p: Column) -> Column:
-        ids = F.filter(F.split(p, mark, -1), lambda x, k: k % 2 == 1)
-        return F.aggregate(ids, p, lambda text, k: F.replace(text, F.concat(mark, k, mark), F.coalesce(F.get(spans, k.cast("int")), F.lit(""))))
-
-    full = F.filter(F.transform(parts, lambda p: F.when(F.contains(p, mark), restore(p)).otherwise(p)), lambda p: F.regexp_replace(p, AROUND, "") != "")
-    whole = F.filter(F.array(c), lambda x: F.regexp_replace(x, AROUND, "") != "")
-    items = F.when(garbled | ~c.rlike(SPLIT), whole).when(c.isNotNull(), full)
-    return F.transform(items, lambda p: F.regexp_replace(p, trim, ""))
+
+    def pieces(b: Column) -> Column:
+        mark, spans, gaps = b["mark"], b["spans"], b["gaps"]
+        # gap 0, mark 0 mark, gap 1, mark 1 mark ... : as many placeholders as there are spans
+        held = F.concat(F.concat_ws("", F.transform(F.slice(gaps, 1, F.size(spans)), lambda g, k: F.concat(g, mark, k.cast("string"), mark))), F.coalesce(F.try_element_at(gaps, F.lit(-1)), F.lit("")))
+
+        def restore(p: Column) -> Column:
+            ids = F.filter(F.split(p, mark, -1), lambda x, k: k % 2 == 1)
+            return F.aggregate(ids, p, lambda text, k: F.replace(text, F.concat(mark, k, mark), F.coalesce(F.get(spans, k.cast("int")), F.lit(""))))
+
+        return F.transform(F.split(held, SPLIT, -1), lambda p: F.when(F.contains(p, mark), restore(p)).otherwise(p))
+
+    quoted = once(F.struct(mark.alias("mark"), F.regexp_extract_all(c, F.lit(f"({SPANS})"), F.lit(1)).alias("spans"), F.split(c, SPANS, -1).alias("gaps")), pieces)
+    parts = F.when(c.rlike(OPENING), quoted).otherwise(F.split(c, SPLIT, -1))
+    items = F.when(c.isNull(), F.lit(None)).when(garbled | ~c.rlike(SPLIT), F.array(c)).otherwise(parts)
+    return F.transform(F.filter(items, lambda p: p.rlike(SEEN)), lambda p: F.regexp_replace(p, trim, ""))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once per row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def explode_values(fields: DataFrame, garbled: Column | None = None) -> DataFrame:
