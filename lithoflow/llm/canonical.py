@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lithoflow.llm.folding import KANA_KANJI, fold
+from lithoflow.llm.folding import BLANKS, KANA_KANJI, fold
 
 BROADCAST_ENTRIES = 50_000
 #: The least soft TF-IDF of an accepted entry.
@@ -126,6 +126,8 @@ def tokens_of(item: str, voc: Vocabulary) -> list[tuple[str, str]]:
     """(token, kind) readings of an item; several when it may be cut in more than one way."""
     t = key_form(item)
     whole = [t]
+    if any(ch in item for ch in BLANKS):  # an odd blank may be one too many
+        whole.append(key_form("".join(ch for ch in item if ch not in BLANKS)))
     t = QUOTES.sub("", t)
     bare = BRACKETS.sub("", t).strip()
     bare = re.split(r"[(\[「『\"]", bare)[0].strip() or bare

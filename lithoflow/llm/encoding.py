@@ -18,9 +18,11 @@ value with no likely reading is reported with ``restored`` null.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import product
 from typing import Any
 
 import numpy as np
@@ -46,6 +48,7 @@ SAFE_SHARE = 3e-4
 #: loses when the text is read as it stands: one repeated in its garbled form is no evidence for it.
 MARGIN, UNSAFE_WORD = 4.0, 6.0
 FLOOR = math.log(1e-9)
+HALF_WIDTH = re.compile("[\uff66-\uff9f]+")
 TOKEN_SPLIT = r"[、,，､;；/／|｜・･\t\n\r+\-()（）「」\"\s]+|及び|並びに"
 
 
@@ -66,15 +69,6 @@ def byte_table(shown: str) -> dict[str, bytes]:
             lead, at = divmod(k, 188)
             out[chr(0xE000 + k)] = bytes([0xF0 + lead, at + 0x40 + (at >= 63)])
         out.update({"\uf8f0": b"\xa0", "\uf8f1": b"\xfd", "\uf8f2": b"\xfe", "\uf8f3": b"\xff", "\x80": b"\x80"})
-    elif shown == "gbk":
-        for k in range(6 * 94):
-            out[chr(0xE000 + k)] = bytes([0xAA + k // 94, 0xA1 + k % 94])
-        for k in range(7 * 94):
-            out[chr(0xE234 + k)] = bytes([0xF8 + k // 94, 0xA1 + k % 94])
-        for k in range(7 * 96):
-            at = k % 96
-            out[chr(0xE4C6 + k)] = bytes([0xA1 + k // 96, at + 0x40 + (at >= 63)])
-        out["€"] = b"\x80"
     return out
 
 
@@ -83,9 +77,40 @@ def to_bytes(ch: str, shown: str) -> bytes | None:
     try:
         return ch.encode(shown)
     except UnicodeEncodeError:
+        if shown == "gbk":  # its later edition has the same two-byte codes, and some more
+            b = ch.encode("gb18030") if not "\ud800" <= ch <= "\udfff" else b""
+            return b if len(b) == 2 else None
         return byte_table(shown).get(ch)
 
 
+@lru_cache(4)
+def other_codes(shown: str) -> dict[str, bytes]:
+    """Characters with a second code in a code page, which encoding does not give."""
+    out: dict[str, bytes] = {}
+    if shown == "cp932":
+        for lead in (0x81, 0x87, 0xED, 0xEE):
+            for trail in range(0x40, 0xFD):
+                raw = bytes([lead, trail])
+                try:
+                    ch = raw.decode(shown)
+                except UnicodeDecodeError:
+                    continue
+                if len(ch) == 1 and ch.encode(shown) != raw:
+                    out[ch] = raw
+    return out
+
+
+def codings(part: list[bytes | None], span: str, shown: str) -> Iterator[list[bytes | None]]:
+    """The span's bytes, with the other codes of its characters as further paths of the lattice."""
+    more = [i for i, ch in enumerate(span) if ch in other_codes(shown)][:4]
+    for pick in range(2 ** len(more)):
+        path = list(part)
+        for k, i in enumerate(more):
+            if pick >> k & 1:
+                path[i] = other_codes(shown)[span[i]]
+        yield path
+
+
 @dataclass
 class Model:
     """Log probabilities of words and characters, and tries of their bytes."""
@@ -237,11 +262,11 @@ def sure(value: str) -> bool:
 
 def foreign_run(value: str, model: Model) -> bool:
     """Two neighbouring signs of single-byte code pages that no word of the corpus has, or half-width
-    kana beside an unsafe kanji."""
-    for a, b in zip(value, value[1:]):
-        for x, y in ((a, b), (b, a)):
-            if "\uff66" <= x <= "\uff9f" and "\u4e00" <= y <= "\ufaff" and y not in model.safe:
-                return True
+    kana that make no word, beside an unsafe kanji."""
+    for m in HALF_WIDTH.finditer(value):
+        sides = value[max(0, m.start() - 1) : m.start()] + value[m.end() : m.end() + 1]
+        if any("\u4e00" <= y <= "\ufaff" and y not in model.safe for y in sides) and fold(m[0]) not in model.words:
+            return True
     run = 0
     for ch in value:
         o = ord(ch)
@@ -270,7 +295,7 @@ def read_one(value: str, model: Model) -> tuple[float, str, str] | None:
             if any(raw is None and ch != LOST for raw, ch in zip(part, span)):
                 continue
             lost = LOST in span
-            for enc in (p[1] for p in PAIRS if p[0] == shown):
+            for part, enc in product(codings(part, span, shown), [p[1] for p in PAIRS if p[0] == shown]):
                 readings: list[tuple[str, str]] = []
                 once = None if lost else strict(b"".join(part), enc)
                 if once is not None:

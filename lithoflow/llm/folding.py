@@ -19,7 +19,7 @@ LOOK_LIKE = {
     "ー": "─━―—–﹣➖", "・": "·‧∙⋅•", "/": "∕⁄╱", "|": "∣│¦ǀ", ";": "\u037e", ":": "∶ː", ",": "‚", "'": "’‘′", '"': "“”″", "-": "‐‑‒−",
 }
 #: Kana and kanji (or marks) that look alike; which one is meant shows in what stands beside.
-KANA_KANJI = {"ー": "一-", "ロ": "口", "ト": "卜", "エ": "工", "カ": "力", "ニ": "二", "ハ": "八", "タ": "夕", "ミ": "三", "チ": "千", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "リ": "り", "ノ": "丿", "オ": "才", "メ": "乄", "ム": "厶", "ヒ": "匕", "セ": "七", "サ": "廾", "ク": "勹", "ソ": "ン"}
+KANA_KANJI = {"ー": "一-", "ロ": "口", "ト": "卜", "エ": "工", "カ": "力", "ニ": "二", "ハ": "八", "タ": "夕", "ミ": "三", "チ": "千", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ", "リ": "り", "ノ": "丿", "オ": "才", "メ": "乄", "ム": "厶", "ヒ": "匕", "セ": "七", "サ": "廾", "ク": "勹"}
 
 
 def is_invisible(ch: str) -> bool:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lithoflow.functions.text import nonblank
 from lithoflow.llm import encoding
-from lithoflow.llm.folding import KANA_KANJI, fixed_map
+from lithoflow.llm.folding import KANA_KANJI, fixed_map, is_katakana
 from lithoflow.session import cut
 
 #: How many times more frequent a string must be than a look-alike string to stand for it.
@@ -142,6 +142,8 @@ class Rewriter:
         for i, w in self.windows(again):
             if w in self.strings:
                 out[i] = self.strings[w][1]
+            elif is_katakana(w[0]) and is_katakana(w[2]) and not is_katakana(w[1]):
+                out[i] = self.pairs[w[1]]  # no kanji stands alone inside a katakana word
         return "".join(out)
 
 
