@@ -391,6 +391,6 @@ def restore(fields: DataFrame, known: list[str]) -> DataFrame:
     """(record_id, field_name, value, restored, way, gain) of the records with a damaged value."""
     model = fit(distinct_values(fields), known)
     safe = "".join(sorted(model.safe))
-    odd = fields.where(nonblank("value") & (F.length(F.translate("value", safe, "")) > 0)).distinct()
+    odd = fields.where(nonblank("value") & (F.length(F.translate("value", safe, "")) > 0)).select("record_id", "field_name", "value").distinct()
     bad = judged(odd.select("value").distinct(), model)
     return odd.join(bad, "value").select("record_id", "field_name", "value", "restored", "way", "gain")

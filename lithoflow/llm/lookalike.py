@@ -2,7 +2,8 @@
 
 Look-alike classes are the components of a union-find over code points and strings: compatibility
 forms, homoglyphs, decomposed kana, blanks, and characters that are not seen (the class of the empty
-string).  The member that the corpus uses most represents its class.  Some ordinary characters look
+string).  The member that most values of the corpus use represents its class, the ordinary one unless another is
+``STRONGER`` times as frequent.  Some ordinary characters look
 alike too (kana and kanji, the prolonged sound mark and the kanji for one): for these the classes are
 strings, the character between its neighbours, and the corpus's most frequent string represents them.
 Texts are rewritten greedily, longest pattern first, by one automaton over all patterns.
@@ -85,13 +86,13 @@ def code_point_classes() -> list[list[str]]:
 
 def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Variant -> representative, over all classes; the invisible ones become ''."""
-    plain = set(fixed_map().values()) | {w for _, w in kana_marks()}
+    plain = {v for v in fixed_map().values() if v and not any(ord(ch) in fixed_map() for ch in v)} | {w for _, w in kana_marks()}
     out: dict[str, str] = {}
     for members in code_point_classes():
         if "" in members:
             best = ""
         else:
-            best = max(members, key=lambda m: (counts.get(m, 0), m in plain, len(m) == 1, m))
+            best = max(members, key=lambda m: ((counts.get(m, 0) + 1) * STRONGER if m in plain else counts.get(m, 0), m in plain, len(m) == 1, m))
         out.update({m: best for m in members if m != best and m})
     return out
 
@@ -156,7 +157,7 @@ def clean_values(fields: DataFrame, known: list[str]) -> DataFrame:
 
 def fit(values: DataFrame) -> Rewriter:
     """Representatives from the frequencies of all clean values (value, n)."""
-    chars = values.select(F.explode(F.split("value", "")).alias("c"), "n").where(F.length("c") > 0).groupBy("c").agg(F.sum("n").alias("n"))
+    chars = values.select(F.explode(F.array_distinct(F.split("value", ""))).alias("c"), "n").where(F.length("c") > 0).groupBy("c").agg(F.sum("n").alias("n"))
     counts = {r[0]: r[1] for r in chars.collect()}  # at most one row for each code point there is
     variants = representatives(counts)
     pairs = ambiguous()
@@ -194,4 +195,4 @@ def consistent(fields: DataFrame, known: list[str]) -> DataFrame:
     """(table_name, record_id, field_name, value) -> the same with ``form``, where it differs."""
     values = clean_values(fields, known)
     changed = forms(values, fit(values))
-    return fields.where(nonblank("value")).distinct().join(changed, "value")
+    return fields.where(nonblank("value")).drop("form").distinct().join(changed, "value")

@@ -140,14 +140,15 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(c)
 
     def at(i: np.ndarray, step: int) -> np.ndarray:
-        return k[np.clip(i + step, 0, n - 1)]
+        j = i + step
+        return np.where((j >= 0) & (j < n), k[np.clip(j, 0, n - 1)], END)
 
     # sentence ends
     stop = k == END
     i = np.flatnonzero(k & STOP)
     after = at(i, 1)
     latin = (at(i, -1) & LETTER > 0) & (after & LETTER > 0)
-    stop[i[np.where(c[i] == 46, (after & (BLANK | END | CJK)) > 0, ~latin)]] = True
+    stop[i[np.where(c[i] == 46, (after & (BLANK | CJK)) > 0, ~latin & (after & END == 0))]] = True
     # digits and signs in place of letters, from left to right; what is left of the signs is a mask
     i = np.flatnonzero(k & SIGN)
     if len(i):
@@ -175,10 +176,12 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kind = k[same]
         twice = (c[np.clip(same + 1, 0, n - 1)] == c[same]) & (same + 1 < n) | (c[np.clip(same - 2, 0, n - 1)] == c[same]) & (same >= 2)
         drop[same[(kind & (LETTER | CJK) > 0) & twice | (c[same] == MASK) | (c[same] == 32)]] = True
-    stop[ends] = True
+        lines = same[c[same] == 10] - 1  # of several line ends the last counts
+        drop[lines], stop[lines] = True, False
+    drop[ends], stop[ends] = False, True
     keep = ~drop | stop
     c = c[keep]
-    c[kinds[c] == DIGIT] = 48
+    c[(kinds[c] & DIGIT) > 0] = 48
     closing = np.flatnonzero(stop[keep])
     sizes = np.diff(np.r_[-1, closing])
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -310,7 +313,7 @@ def scores(documents: DataFrame, model: Model, offends: float = OFFENDS) -> Data
         where, values, bias = sent.value
         weights = np.zeros(2**BITS, dtype=np.float32)
         weights[where] = values
-        own = Model(weights, bias)
+        own, floor = Model(weights, bias), float(sigmoid(np.array(bias)))
         for b in batches:
             texts = b["text"].fillna("").tolist()
             out = []
@@ -324,7 +327,9 @@ def scores(documents: DataFrame, model: Model, offends: float = OFFENDS) -> Data
                 p = sigmoid(z)
                 n = end - at
                 first = np.searchsorted(doc, np.arange(n))
-                rest = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+                # what a sentence has by the bias alone is no evidence, however many there are
+                beyond = np.maximum(0, (p - floor) / (1 - floor))
+                rest = np.exp(np.bincount(doc, np.log1p(-np.minimum(beyond, 1 - 1e-12)), n))
                 best = np.lexsort((-p, doc))[np.searchsorted(doc, np.arange(n))]
                 empty = np.array([not t for t in texts[at:end]])
                 out.append(
