@@ -62,7 +62,8 @@ def p4_matched(spark: SparkSession, d: str) -> DataFrame:
     per_value = per_value.select("value", "x.split", F.posexplode("x.items").alias("p", "item")).where(~F.col("item").isin(labels))
     found = canonical.match(per_value.select("item").distinct(), spark, rows)
     per_value = per_value.join(found, "item").select("value", "split", (F.col("p") + 1).cast("int").alias("pos"), "item", "ref_id")
-    fields = fields.distinct().withColumn("split", F.col("field_name") != "raw_unit_name_ja")
+    # most values are labels as they stand and go nowhere
+    fields = fields.where(~F.regexp_replace("value", plain, "").isin(labels)).distinct().withColumn("split", F.col("field_name") != "raw_unit_name_ja")
     return fields.join(per_value, ["value", "split"]).select("record_id", "field_name", "pos", "item", "ref_id")
 
 
