@@ -1,11 +1,13 @@
-"""Priority rules: the first rule that matches, for each fact, in one join and one aggregate.
+"""Priority rules: the first rule that matches, for each fact.
 
 Rule tables are small; they are broadcast while they hold at most ``BROADCAST_RULES`` rows.  Facts are
-reduced to distinct values first, so the substring join runs once per distinct unit.
+reduced to distinct values first, so the substring search runs once per distinct unit.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,26 @@ def match_terms(units: DataFrame, rules: DataFrame) -> DataFrame:
     """(name, litho) distinct -> with term_id, keyword, field and l1_confidence of the first match.
 
     A rule looks in its own field (pass 1); only units without any such match take a keyword found
-    anywhere in name and lithology (pass 2).  Both passes are one join: the pass leads the order."""
+    anywhere in name and lithology (pass 2).  Both passes are one: the pass leads the order.
+
+    The rules are folded into the plan as one constant array, so a unit is matched in its own row:
+    there is neither a join nor an aggregate, and nothing is shuffled."""
+    rows = rules.select("term_id", "match_on", "priority", "row_no", "kw_no", "kw").limit(BROADCAST_RULES + 1).collect()
+    if len(rows) > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} keyword rules; they are meant to be a small table")
+    kind = rules.schema["row_no"].dataType.simpleString()
+    table = F.from_json(F.lit(json.dumps([r.asDict() for r in rows], ensure_ascii=False)), f"array<struct<term_id:string,match_on:string,priority:int,row_no:{kind},kw_no:int,kw:string>>")
     hay = F.concat("name", F.lit(" "), "litho")
-    own = F.when(F.col("match_on") == "name", F.col("name")).otherwise(F.col("litho"))
-    hit = units.join(small(rules), F.contains(hay, F.col("kw")))
-    hit = hit.withColumn("pass", F.when(F.contains(own, F.col("kw")), 1).otherwise(2))
-    order = F.struct("pass", "priority", "row_no", "kw_no")
-    first = hit.groupBy("name", "litho").agg(F.min_by(F.struct("pass", "term_id", "kw", "match_on"), order).alias("m"))
+    hits = F.filter(table, lambda r: F.contains(hay, r["kw"]))
+
+    def ranked(r: Column) -> Column:
+        own = F.when(r["match_on"] == "name", F.col("name")).otherwise(F.col("litho"))
+        return F.struct(F.when(F.contains(own, r["kw"]), 1).otherwise(2).alias("pass"), r["priority"].alias("priority"), r["row_no"].alias("row_no"), r["kw_no"].alias("kw_no"), r["term_id"].alias("term_id"), r["kw"].alias("kw"), r["match_on"].alias("match_on"))
+
+    found = units.select("name", "litho", F.array_min(F.transform(hits, ranked)).alias("m"))
     field = F.when(F.col("m.pass") == 2, "name+litho").otherwise(F.col("m.match_on"))
     conf = F.when(F.col("m.pass").isNull(), "very_low").when(F.col("m.pass") == 2, "low").when(F.col("m.match_on") == "name", "high").otherwise("medium")
-    return units.join(first, ["name", "litho"], "left").select("name", "litho", F.col("m.term_id").alias("term_id"), F.col("m.kw").alias("keyword"), field.alias("field"), conf.alias("l1_confidence"))
+    return found.select("name", "litho", F.col("m.term_id").alias("term_id"), F.col("m.kw").alias("keyword"), field.alias("field"), conf.alias("l1_confidence"))
 
 
 def is_old(age: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lithoflow.functions.damage import BROKEN, FOREIGN, LIKE_LATIN, SIGNS
+from lithoflow.operators.packed import CONJUNCTIONS, DELIMITERS, INVISIBLE, SPANS
 from lithoflow.plans.reference_sql import HITS, POINTS, REGIONS, VERTICES, WS
 
 
@@ -16,7 +18,41 @@ where c.ref_value <> '' and (p.k is null or p.deleted <= c.at or p.created > c.a
 NEAR = """near as (select a.query_id, b.query_id as other from pts a join pts b on b.lat between a.lat - 0.00012 and a.lat + 0.00012 and a.query_id < b.query_id
   where 2 * 6371008.8 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 12)"""
 
+def parsed(text: str) -> str:
+    """JSON of a text, also where it is JSON inside a JSON string; null where it can't be read."""
+    inner = f"(cast({text} as json) ->> '$')"
+    return f"case when json_valid({text}) then case when json_type(cast({text} as json)) = 'VARCHAR' then case when json_valid({inner}) then cast({inner} as json) end else cast({text} as json) end end"
+
+
+def listed(x: str) -> str:
+    return f"case when {x} is null or cast({x} as varchar) in ('null', '\"\"', '{{}}', '[]') then cast([] as json[]) when json_type({x}) = 'ARRAY' then cast({x} as json[]) else [{x}] end"
+
+
+def elements(node: str, x: str, table: str, parent: str) -> str:
+    return f"select k, '{node}' as node, {parent} as parent_pos, unnest({listed(x)}) as e, generate_subscripts({listed(x)}, 1) - 1 as pos from {table}"
+
+
+P1 = f"""with s as (select distinct geology_unit_card_id as k, chain, source_evidence, risk_flags from inference_chains),
+j as (select k, {parsed('chain')} as c, {parsed('source_evidence')} as v, risk_flags as f, case when json_valid(risk_flags) and json_type(cast(risk_flags as json)) <> 'VARCHAR' then cast(risk_flags as json) end as fj,
+  case when json_valid(risk_flags) and json_type(cast(risk_flags as json)) = 'VARCHAR' then cast(risk_flags as json) ->> '$' when not json_valid(risk_flags) and not regexp_matches(risk_flags, '^\\s*[\\[{{"]') then risk_flags end as ft from s),
+w as (select k, case when json_type(c) = 'OBJECT' and json_exists(c, '$.steps') then c -> '$.steps' else c end as c, case when json_type(v) = 'OBJECT' then v -> '$.pdf_asset_ids' end as a, case when ft is not null then to_json(list_filter(list_transform(string_split(ft, ';'), lambda x: trim(x)), lambda x: x <> '')) else fj end as f from j),
+steps as ({elements('chain', 'c', 'w', '-1')}),
+t as (select k, pos, e -> '$.evidence' as ev, e -> '$.sources' as so, e -> '$.outputs.recommended_investigation' as inv from steps where json_type(e) = 'OBJECT'),
+u as (select * from steps union all {elements('risk_flags', 'f', 'w', '-1')} union all {elements('pdf_asset_ids', 'a', 'w', '-1')}
+  union all {elements('evidence', 'ev', 't', 'pos')} union all {elements('sources', 'so', 't', 'pos')} union all {elements('investigation', 'inv', 't', 'pos')})
+select distinct k as geology_unit_card_id, node, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from u where cast(e as varchar) not in ('null', '""', '{{}}', '[]')"""
+
+# without the lookarounds that DuckDB's expressions lack; no field has what they guard against
+P6_SPANS = "|".join(x for x in SPANS.split("|") if "?<!" not in x).replace("'", "''")
+P6_SPLIT = "[" + DELIMITERS + "]|" + "|".join([*CONJUNCTIONS[:-1], r"\s(?i:and)\s"])
+P6 = f"""with f as (select feature_id as record_id, 'raw_lithology' as field_name, raw_lithology as value from geology_features union select term_id, 'match_keywords_ja', match_keywords_ja from l1_geology_terms union select map_id, 'geotech_synonyms_ja', geotech_synonyms_ja from l2_geology_to_geotech),
+n as (select record_id, field_name, len(list_filter(regexp_split_to_array(regexp_replace(value, '{P6_SPANS}', 'Q', 'g'), '{P6_SPLIT}'), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}{INVISIBLE}]'))) as n
+  from f where value is not null and record_id is not null and not regexp_matches(value, '{BROKEN}|{FOREIGN}|{SIGNS}') and not regexp_matches(translate(value, '{LIKE_LATIN}', ''), '[\\x{{400}}-\\x{{52F}}]'))
+select record_id, field_name, cast(unnest(range(1, n + 1)) as integer) as pos from n where n > 1"""
+
 SQL = {
+    "p1_found": P1,
+    "p6_found": P6,
     "p3_found": f"""with {POINTS}, {VERTICES}, {HITS}, {REGIONS}, {NEAR}
 select 'near' as kind, query_id, cast(other as varchar) as other_id from near union all select 'sheet', query_id, region from regs union all select distinct 'feature', query_id, feature_id from hits""",
     "p5_found": " union all ".join(
