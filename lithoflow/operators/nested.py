@@ -95,7 +95,7 @@ def edges(v: Any, path: str, out: set[tuple[str, str, str]]) -> None:
     elif isinstance(v, dict):
         for k, x in v.items():
             at = child_path(path, k)
-            if not empty(x):
+            if x is not None:
                 out.add((path, at, kind_of(x)))
                 edges(x, at, out)
 

@@ -18,6 +18,33 @@ where c.ref_value <> '' and (p.k is null or p.deleted <= c.at or p.created > c.a
 NEAR = """near as (select a.query_id, b.query_id as other from pts a join pts b on b.lat between a.lat - 0.00012 and a.lat + 0.00012 and a.query_id < b.query_id
   where 2 * 6371008.8 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 12)"""
 
+def all_refs(child: str, record: str, ref: str, at: str, table: str = "") -> str:
+    return f"select distinct '{child}' as table_name, cast({record} as varchar) as record_id, upper(regexp_replace({ref}, '^{WS}+|{WS}+$', '', 'g')) as ref_value, {at} as at from {table or child} where regexp_matches({ref}, '[^\\s\\p{{Z}}]')"
+
+
+TERM_REFS = """(select geology_unit_card_id, built_at, unnest(regexp_extract_all(chain, '"knowledge_ref\\\\*": \\\\*"terms :: (T[0-9]+)', 1)) as term from inference_chains)"""
+
+
+def direct_sql(refs: str, parent: str, key: str, created: str, deleted: str) -> str:
+    return f"""select c.*, case when p.k is null then 'missing' when p.deleted <= c.at then 'deleted' else 'later' end as reason from ({refs}) c
+left join (select upper(regexp_replace({key}, '^{WS}+|{WS}+$', '', 'g')) as k, min({created}) as created, case when count({deleted}) = count(*) then max({deleted}) end as deleted from {parent} group by 1) p on p.k = c.ref_value
+where p.k is null or p.deleted <= c.at or p.created > c.at"""
+
+
+NONE = "cast(null as timestamp)"
+GEO, L2, LABELS = all_refs("geotech_features", "feature_id", "geology_unit_card_id", "built_at"), all_refs("l2_geology_to_geotech", "map_id", "source_ref", "updated_on"), all_refs("pdf_curated_labels", "line_no", "asset_id", "labelled_on")
+CHAINS, L1 = all_refs("inference_chains", "geology_unit_card_id", "term", "built_at", TERM_REFS), all_refs("l1_geology_terms", "term_id", "source_ref", NONE)
+P5_REPORT = f"""with geo as ({GEO}), chains as ({CHAINS}),
+d as ({direct_sql(GEO, "inference_chains", "geology_unit_card_id", "built_at", "deleted_at")} union all {direct_sql(L2, "knowledge_sources", "source_id", "registered_on", "deleted_at")}
+  union all {direct_sql(LABELS, "pdf_asset_index", "asset_id", "extracted_at", "deleted_at")} union all {direct_sql(CHAINS, "l1_geology_terms", "term_id", NONE, NONE)} union all {direct_sql(L1, "knowledge_sources", "source_id", "registered_on", "deleted_at")}),
+dk as (select distinct table_name, record_id from d),
+i1 as (select c.*, 'orphaned target' as reason from chains c where ref_value in (select upper(record_id) from d where table_name = 'l1_geology_terms') and record_id not in (select record_id from dk where table_name = 'inference_chains')),
+g1 as (select c.*, 'orphaned target' as reason from geo c where ref_value in (select upper(record_id) from d where table_name = 'inference_chains') and record_id not in (select record_id from dk where table_name = 'geotech_features')),
+g2 as (select c.*, 'orphaned target' as reason from geo c where ref_value in (select upper(record_id) from i1) and record_id not in (select record_id from dk where table_name = 'geotech_features') and record_id not in (select record_id from g1)),
+o as (select *, 'direct' as kind from d union all select *, 'inherited' from (select * from i1 union all select * from g1 union all select * from g2))
+select table_name, coalesce(strftime(o.at, '%Y-%m'), '') as period, kind, reason, count(distinct (record_id, ref_value)) as n_refs, count(distinct record_id) as n_records from o group by 1, 2, 3, 4"""
+
+
 def parsed(text: str) -> str:
     """JSON of a text, also where it is JSON inside a JSON string; null where it can't be read."""
     inner = f"(cast({text} as json) ->> '$')"
@@ -42,6 +69,10 @@ u as (select * from steps union all {elements('risk_flags', 'f', 'w', '-1')} uni
   union all {elements('evidence', 'ev', 't', 'pos')} union all {elements('sources', 'so', 't', 'pos')} union all {elements('investigation', 'inv', 't', 'pos')})
 select distinct k as geology_unit_card_id, node, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from u where cast(e as varchar) not in ('null', '""', '{{}}', '[]')"""
 
+P1_SOURCES = P1[: P1.index("select distinct k as")].rstrip() + """
+select distinct k as geology_unit_card_id, 'chain' as parent_table, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos, nullif(e ->> '$.id', '') as id, nullif(e ->> '$.tier', '') as tier, nullif(e ->> '$.title', '') as title, nullif(e ->> '$.url', '') as url
+from u where node = 'sources' and cast(e as varchar) not in ('null', '""', '{}', '[]')"""
+
 # without the lookarounds that DuckDB's expressions lack; no field has what they guard against
 P6_SPANS = "|".join(x for x in SPANS.split("|") if "?<!" not in x).replace("'", "''")
 P6_SPLIT = "[" + DELIMITERS + "]|" + "|".join([*CONJUNCTIONS[:-1], r"\s(?i:and)\s"])
@@ -52,6 +83,8 @@ select record_id, field_name, cast(unnest(range(1, n + 1)) as integer) as pos fr
 
 SQL = {
     "p1_found": P1,
+    "p1_sources": P1_SOURCES,
+    "p5_orphan_report": P5_REPORT,
     "p6_found": P6,
     "p3_found": f"""with {POINTS}, {VERTICES}, {HITS}, {REGIONS}, {NEAR}
 select 'near' as kind, query_id, cast(other as varchar) as other_id from near union all select 'sheet', query_id, region from regs union all select distinct 'feature', query_id, feature_id from hits""",
