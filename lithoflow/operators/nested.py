@@ -85,19 +85,44 @@ def kind_of(v: Any) -> str:
     return "list" if isinstance(v, list) else "dict" if isinstance(v, dict) else "scalar"
 
 
-def edges(v: Any, path: str, out: set[tuple[str, str, str]]) -> None:
+class Paths:
+    """Paths of members and elements, each made once."""
+
+    def __init__(self, tables: dict[str, str] | None = None) -> None:
+        self.tables = tables or {}
+        self.members: dict[tuple[str, str], tuple[str, str | None]] = {}
+        self.bare = {p.replace("[]", ""): p for p in self.tables}
+
+    def member(self, path: str, k: str) -> tuple[str, str | None]:
+        """(path, table or None) of member k of the element at a path.  A single value where a list is
+        usual lacks the list's brackets in its path, so tables are looked up without them."""
+        got = self.members.get((path, k))
+        if got is None:
+            at = child_path(path, k)
+            at = self.bare.get(at.replace("[]", ""), at)
+            got = self.members[(path, k)] = (at, self.tables.get(at))
+        return got
+
+
+def edges(v: Any, path: str, paths: Paths, out: set[tuple[str, str, str]]) -> None:
     """(parent path, path, kind) of everything below v.  A member that is inside an element of
     the same name is written as that element's path, so a recursive structure gives a finite graph."""
-    if isinstance(v, list):
-        for x in v:
-            out.add((path, path + "[]", kind_of(x)))
-            edges(x, path + "[]", out)
-    elif isinstance(v, dict):
-        for k, x in v.items():
-            at = child_path(path, k)
-            if x is not None:
+    todo = [(v, path)]
+    while todo:
+        v, path = todo.pop()
+        if isinstance(v, list):
+            at = path + "[]"
+            for x in v:
                 out.add((path, at, kind_of(x)))
-                edges(x, at, out)
+                if isinstance(x, (list, dict)):
+                    todo.append((x, at))
+        else:
+            for k, x in v.items():
+                if x is not None:
+                    at = paths.member(path, k)[0]
+                    out.add((path, at, kind_of(x)))
+                    if isinstance(x, (list, dict)):
+                        todo.append((x, at))
 
 
 def child_path(path: str, k: str) -> str:
@@ -114,13 +139,15 @@ def schema_graph(df: DataFrame, spec: Nested) -> list[tuple[str, str, str]]:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: set[tuple[str, str, str]] = set()
+        own = Paths()
         for b in batches:
             for col in spec.columns:
                 for text in b[col]:
                     v = read_text(text, col, spec)
                     if v is not None:
                         out.add(("", col, kind_of(v)))
-                        edges(v, col, out)
+                        if isinstance(v, (list, dict)):
+                            edges(v, col, own, out)
         yield pd.DataFrame(sorted(out), columns=["parent", "path", "kind"])
 
     rows = df.select(*spec.columns).mapInPandas(scan, "parent string, path string, kind string").distinct().collect()
@@ -144,53 +171,64 @@ def table_paths(graph: list[tuple[str, str, str]], spec: Nested) -> dict[str, st
     return names
 
 
-def walk(v: Any, col: str, tables: dict[str, str]) -> Iterator[tuple[str, str, int, int, dict[str, str]]]:
+def walk(v: Any, col: str, paths: Paths) -> Iterator[tuple[str, str, int, int, dict[str, str]]]:
     """(table, parent table, parent position, position, inlined columns) of one column's value."""
-    todo: list[tuple[Any, str, str, int]] = [(v, col, ROOT, -1)]
+    todo: list[tuple[Any, str, str | None, str, int]] = [(v, col, paths.tables.get(col), ROOT, -1)]
     while todo:
-        v, path, parent, at = todo.pop()
+        v, path, own, parent, at = todo.pop()
         if empty(v):
             continue
-        if path in tables:
-            own = tables[path]
-            for i, x in enumerate(v if isinstance(v, list) else [v]):
-                if empty(x):
-                    continue
-                flat: dict[str, str] = {}
-                below: list[tuple[Any, str]] = []
-                inline(x, path + "[]" * isinstance(v, list), "", flat, below, tables)
-                yield own, parent, at, i, flat
-                todo += [(y, p, own, i) for y, p in below]
-        else:
-            flat, below = {}, []
-            inline(v, path, "", flat, below, tables)
-            if flat:
-                yield col, parent, at, 0, flat
-            todo += [(y, p, parent, at) for y, p in below]
-
-
-def inline(v: Any, path: str, name: str, flat: dict[str, str], below: list[tuple[Any, str]], tables: dict[str, str]) -> None:
+        rows = enumerate(v) if own and isinstance(v, list) else [(0, v)]
+        for i, x in rows:
+            if empty(x):
+                continue
+            flat: dict[str, str] = {}
+            below: list[tuple[Any, str, str]] = []
+            inline(x, path + "[]" if own and isinstance(v, list) else path, "", flat, below, paths)
+            if own or flat:
+                yield own or col, parent, at, i, flat
+            todo += [(y, p, t, own or parent, i if own else at) for y, p, t in below]
+
+
+def inline(v: Any, path: str, name: str, flat: dict[str, str], below: list[tuple[Any, str, str]], paths: Paths) -> None:
     """Scalars and singletons below v into flat; elements with a table of their own into below."""
     if isinstance(v, dict):
         for k, x in v.items():
-            at = resolve(child_path(path, k), tables)
-            if at in tables:
-                below.append((x, at))
+            at, own = paths.member(path, k)
+            if own:
+                below.append((x, at, own))
             else:
-                inline(x, at, f"{name}_{k}" if name else k, flat, below, tables)
+                inline(x, at, f"{name}_{k}" if name else k, flat, below, paths)
     elif isinstance(v, list):
         for i, x in enumerate(v):
-            inline(x, path + "[]", f"{name}_{i}", flat, below, tables)
+            inline(x, path + "[]", f"{name}_{i}", flat, below, paths)
     elif not empty(v):
         flat[name or "value"] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def resolve(path: str, tables: dict[str, str]) -> str:
-    """A single value where a list is usual lacks the list's brackets in its path."""
-    if path in tables:
-        return path
-    bare = path.replace("[]", "")
-    return next((p for p in tables if p.replace("[]", "") == bare), path)
+def places(v: Any, col: str, paths: Paths) -> Iterator[tuple[str, int, list[int]]]:
+    """(table, parent position, positions) of each list of one column's value; no columns."""
+    todo: list[tuple[Any, str, str | None, int]] = [(v, col, paths.tables.get(col), -1)]
+    while todo:
+        v, path, own, at = todo.pop()
+        if own:
+            if empty(v):
+                continue
+            many = isinstance(v, list)
+            kept = [i for i, x in enumerate(v if many else [v]) if not empty(x)]
+            if kept:
+                yield own, at, kept
+            if many:
+                todo += [(v[i], path + "[]", None, i) for i in kept if isinstance(v[i], (dict, list))]
+            elif isinstance(v, dict):
+                todo.append((v, path, None, 0))
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                p, t = paths.member(path, k)
+                if t or isinstance(x, (dict, list)):
+                    todo.append((x, p, t, at))
+        elif isinstance(v, list):
+            todo += [(x, path + "[]", None, at) for x in v if isinstance(x, (dict, list))]
 
 
 def inlined_columns(graph: list[tuple[str, str, str]], tables: dict[str, str], col_of: tuple[str, ...]) -> dict[str, list[str]]:
@@ -207,26 +245,30 @@ def inlined_columns(graph: list[tuple[str, str, str]], tables: dict[str, str], c
 
 def links(df: DataFrame, spec: Nested, nodes: tuple[str, ...] = ("chain", "risk_flags", "pdf_asset_ids", "evidence", "sources", "investigation")) -> DataFrame:
     """(key, node, parent_pos, pos): one row per list element of the given nodes' tables; elements
-    at the top of a record have parent_pos -1.  Rows of a record come together in one array, so that
-    repeated records are merged by a small shuffle of positions and not of texts."""
-    paths = table_paths(schema_graph(df, spec), spec)
-    item = T.ArrayType(T.StructType([T.StructField("node", T.StringType()), T.StructField("parent_pos", T.IntegerType()), T.StructField("pos", T.IntegerType())]))
-    keep = set(nodes)
+    at the top of a record have parent_pos -1.  Repeated records are merged by a small shuffle of
+    positions, never of texts."""
+    found = table_paths(schema_graph(df, spec), spec)
+    keep = {t: k for k, t in enumerate(nodes)}
 
-    @F.pandas_udf(item)
+    @F.pandas_udf("string")
     def positions(*texts: pd.Series) -> pd.Series:
+        """Lists of a record as ``node:parent:pos,pos``, by ``;``: cheap to hand back and to shuffle."""
+        paths = Paths(found)
         out = []
         for row in zip(*texts):
             got = []
             for col, text in zip(spec.columns, row):
                 v = read_text(text, col, spec)
                 if v is not None:
-                    got += [{"node": t, "parent_pos": at, "pos": i} for t, _, at, i, _ in walk(v, col, paths) if t in keep]
-            out.append(got)
+                    got += [f"{keep[t]}:{at}:{','.join(map(str, kept))}" for t, at, kept in places(v, col, paths) if t in keep]
+            out.append(";".join(got))
         return pd.Series(out)
 
-    rows = df.select(F.col(spec.key), positions(*spec.columns).alias("item")).groupBy(spec.key).agg(F.array_distinct(F.flatten(F.collect_list("item"))).alias("item"))
-    return rows.select(spec.key, F.inline("item"))
+    lists = df.select(F.col(spec.key), positions(*spec.columns).alias("lists")).where("lists <> ''").groupBy(spec.key).agg(F.collect_set("lists").alias("lists"))
+    parts = lists.select(spec.key, F.explode(F.split(F.array_join("lists", ";"), ";")).alias("x")).select(spec.key, F.split("x", ":").alias("x"))
+    node = F.element_at(F.array(*map(F.lit, nodes)), F.get("x", F.lit(0)).cast("int") + 1)
+    rows = parts.select(spec.key, node.alias("node"), F.get("x", F.lit(1)).cast("int").alias("parent_pos"), F.explode(F.split(F.get("x", F.lit(2)), ",").cast("array<int>")).alias("pos"))
+    return rows.distinct()  # the rows of a record are together already, so this shuffles nothing
 
 
 def tables(df: DataFrame, spec: Nested) -> dict[str, DataFrame]:
@@ -237,13 +279,14 @@ def tables(df: DataFrame, spec: Nested) -> dict[str, DataFrame]:
     schema = T.StructType([df.schema[spec.key], *T._parse_datatype_string("node string, parent_table string, parent_pos int, pos int, inlined map<string,string>").fields])
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Paths(paths)
         for b in batches:
             rows = []
             for key, *row in b[[spec.key, *spec.columns]].itertuples(index=False):
                 for col, text in zip(spec.columns, row):
                     v = read_text(text, col, spec)
                     if v is not None:
-                        rows += [(key, t, up, at, i, flat) for t, up, at, i, flat in walk(v, col, paths)]
+                        rows += [(key, t, up, at, i, flat) for t, up, at, i, flat in walk(v, col, own)]
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     rows = df.select(spec.key, *spec.columns).mapInPandas(flatten, schema)
