@@ -29,3 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     still readable when an executor is lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, for work that is long beside its rows; adaptive execution would put
+    small rows into a single task."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
