@@ -1,7 +1,8 @@
 """The four-layer chain from a unit's name, lithology and age to ground type, confidence and flags.
 
-Units are reduced to distinct (name, litho, age) first; every layer is a join of that small set with a
-rule table; the result goes back to the features by one join.
+Units are reduced to distinct (name, litho, age) first; the layers search their rule tables within
+each row, so the whole chain is one projection over that set, which goes back to the features by one
+join.
 
 Defined results: null names, lithologies and ages count as ''; units without any match get ground type
 ``mixed_or_uncertain_geology`` with confidence ``very_low`` and are to be reviewed.
@@ -24,14 +25,12 @@ def units(features: DataFrame) -> DataFrame:
     return features.select(text("raw_unit_name_ja").alias("name"), text("raw_lithology").alias("litho"), text("raw_age").alias("age")).distinct()
 
 
-def identify(units: DataFrame, terms: DataFrame, keyword_rules: DataFrame, coarse_terms: Column | None = None, fine_terms: Column | None = None) -> DataFrame:
+def identify(units: DataFrame, keyword_rules: DataFrame, coarse_terms: Column | None = None, fine_terms: Column | None = None) -> DataFrame:
     """Layer 1: the term, its material and grain, refined by age.  ``coarse_terms``, ``fine_terms``:
     which terms (over term_id, material, grain) an old age refines."""
     coarse_terms = F.col("term_id").isin(*OLD_COARSE) if coarse_terms is None else coarse_terms
     fine_terms = F.col("term_id").isin(*OLD_FINE) if fine_terms is None else fine_terms
-    hits = R.match_terms(units.select("name", "litho").distinct(), keyword_rules)
-    props = terms.select("term_id", F.col("geological_material").alias("material"), F.col("grain_or_rock").alias("grain")).dropDuplicates(["term_id"])
-    out = units.join(hits, ["name", "litho"]).join(R.small(props), "term_id", "left")
+    out = R.match_terms(units, keyword_rules)
     old = R.is_old(F.col("age"))
     coarse = F.coalesce(old & coarse_terms, F.lit(False))
     return out.select(
@@ -45,10 +44,8 @@ def identify(units: DataFrame, terms: DataFrame, keyword_rules: DataFrame, coars
 
 def infer(features: DataFrame, terms: DataFrame, l2: DataFrame, risk: DataFrame | None = None, term_order: str = "term_id", coarse_terms: Column | None = None, fine_terms: Column | None = None) -> DataFrame:
     """Per distinct unit: all layers' results, overall confidence, review flag and risk flags."""
-    found = identify(units(features), terms, R.keyword_rules(terms, term_order), coarse_terms, fine_terms)
-    facts = found.select("material", "grain").distinct().withColumn("fact", F.concat_ws("\u0001", "material", F.coalesce("grain", F.lit(""))))
-    mapped = R.translate(facts, l2, "fact").drop("fact")
-    out = found.join(R.small(mapped.withColumnRenamed("grain", "g").withColumnRenamed("material", "m")), (F.col("material") == F.col("m")) & F.col("grain").eqNullSafe(F.col("g")), "left").drop("m", "g")
+    found = identify(units(features), R.keyword_rules(terms, term_order), coarse_terms, fine_terms)
+    out = R.translate(found, l2)
     overall = R.worst(F.col("l1_confidence"), F.col("l2_confidence"))
     out = out.withColumn("overall_confidence", overall).withColumn("needs_manual_review", R.needs_review(F.col("overall_confidence"), F.col("ground_type"), F.col("name")))
     if risk is not None:

@@ -1,7 +1,7 @@
 """Priority rules: the first rule that matches, for each fact.
 
-Rule tables are small; they are broadcast while they hold at most ``BROADCAST_RULES`` rows.  Facts are
-reduced to distinct values first, so the substring search runs once per distinct unit.
+Rule tables are small and counted before use.  They are searched as a constant within each row, so
+matching is one projection; facts are reduced to distinct values first.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithoflow.functions.text import nonblank
 
@@ -25,58 +26,63 @@ def small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
 
 
+def constant(rules: DataFrame) -> Column:
+    """The rows of a small table as one constant array of structs, to be searched within each row of
+    another table: neither a join nor a shuffle.  Larger tables are refused."""
+    rows = rules.limit(BROADCAST_RULES + 1).collect()
+    if len(rows) > BROADCAST_RULES:
+        raise ValueError(f"more than {BROADCAST_RULES} rules; they are meant to be a small table")
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows], ensure_ascii=False)), T.ArrayType(rules.schema))
+
+
+def held(df: DataFrame, value: Column) -> DataFrame:
+    """df with ``_m``, computed once per row.  A generator, as filters on columns made from ``_m`` would
+    otherwise be pushed below it, each with its own copy of the search."""
+    return df.select("*", F.explode(F.array(value)).alias("_m"))
+
+
 def keyword_rules(terms: DataFrame, order: str = "term_id") -> DataFrame:
-    """One row per keyword: (term_id, match_on, kw, kw_no, priority, row_no); keywords are separated by
-    ``;``, blank ones are left out.  ``row_no`` stands for the file order: it comes from ``order``."""
+    """One row per keyword: (term_id, match_on, kw, kw_no, priority, row_no, material, grain); keywords are
+    separated by ``;``, blank ones are left out.  ``row_no`` stands for the file order: it comes from
+    ``order``."""
     rows = terms.where(F.col("term_id").isNotNull() & ~F.col("term_id").startswith("#"))
     kws = F.filter(F.transform(F.split("match_keywords_ja", ";"), lambda k: F.trim(k)), lambda k: k != "")
-    return rows.select("term_id", "match_on", "priority", F.col(order).alias("row_no"), F.posexplode(kws).alias("kw_no", "kw"))
+    return rows.select("term_id", "match_on", "priority", F.col(order).alias("row_no"), F.col("geological_material").alias("material"), F.col("grain_or_rock").alias("grain"), F.posexplode(kws).alias("kw_no", "kw"))
 
 
 def match_terms(units: DataFrame, rules: DataFrame) -> DataFrame:
-    """(name, litho) distinct -> with term_id, keyword, field and l1_confidence of the first match.
+    """units with (name, litho) -> with term_id, keyword, field, l1_confidence, material and grain of the
+    first match.
 
     A rule looks in its own field (pass 1); only units without any such match take a keyword found
-    anywhere in name and lithology (pass 2).  Both passes are one: the pass leads the order.
-
-    The rules are folded into the plan as one constant array, so a unit is matched in its own row:
-    there is neither a join nor an aggregate, and nothing is shuffled."""
-    rows = rules.select("term_id", "match_on", "priority", "row_no", "kw_no", "kw").limit(BROADCAST_RULES + 1).collect()
-    if len(rows) > BROADCAST_RULES:
-        raise ValueError(f"more than {BROADCAST_RULES} keyword rules; they are meant to be a small table")
-    kind = rules.schema["row_no"].dataType.simpleString()
-    table = F.from_json(F.lit(json.dumps([r.asDict() for r in rows], ensure_ascii=False)), f"array<struct<term_id:string,match_on:string,priority:int,row_no:{kind},kw_no:int,kw:string>>")
+    anywhere in name and lithology (pass 2).  Both passes are one: the pass leads the order."""
+    table = constant(rules.select("priority", "row_no", "kw_no", "term_id", "kw", "match_on", "material", "grain"))
     hay = F.concat("name", F.lit(" "), "litho")
-    hits = F.filter(table, lambda r: F.contains(hay, r["kw"]))
 
     def ranked(r: Column) -> Column:
         own = F.when(r["match_on"] == "name", F.col("name")).otherwise(F.col("litho"))
-        return F.struct(F.when(F.contains(own, r["kw"]), 1).otherwise(2).alias("pass"), r["priority"].alias("priority"), r["row_no"].alias("row_no"), r["kw_no"].alias("kw_no"), r["term_id"].alias("term_id"), r["kw"].alias("kw"), r["match_on"].alias("match_on"))
+        return F.struct(F.when(F.contains(own, r["kw"]), 1).otherwise(2).alias("pass"), *[r[k].alias(k) for k in ("priority", "row_no", "kw_no", "term_id", "kw", "match_on", "material", "grain")])
 
-    found = units.select("name", "litho", F.array_min(F.transform(hits, ranked)).alias("m"))
-    field = F.when(F.col("m.pass") == 2, "name+litho").otherwise(F.col("m.match_on"))
-    conf = F.when(F.col("m.pass").isNull(), "very_low").when(F.col("m.pass") == 2, "low").when(F.col("m.match_on") == "name", "high").otherwise("medium")
-    return found.select("name", "litho", F.col("m.term_id").alias("term_id"), F.col("m.kw").alias("keyword"), field.alias("field"), conf.alias("l1_confidence"))
+    best = F.array_min(F.transform(F.filter(table, lambda r: F.contains(hay, r["kw"])), ranked))
+    m = F.col("_m")
+    field = F.when(m["pass"] == 2, "name+litho").otherwise(m["match_on"])
+    conf = F.when(m["pass"].isNull(), "very_low").when(m["pass"] == 2, "low").when(m["match_on"] == "name", "high").otherwise("medium")
+    return held(units, best).select(*units.columns, m["term_id"].alias("term_id"), m["kw"].alias("keyword"), field.alias("field"), conf.alias("l1_confidence"), m["material"].alias("material"), m["grain"].alias("grain"))
 
 
 def is_old(age: Column) -> Column:
     return F.coalesce(age.rlike("|".join(OLD_AGES)), F.lit(False))
 
 
-def translate(facts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def translate(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """facts with (material, grain) -> with map_id, family, ground_type and l2_confidence: the first
     rule by priority whose material fits and whose grain fits or is ``*``."""
-    r = rules.select("map_id", "priority", "match_geological_material", "match_grain_or_rock", "engineering_material_family", "engineering_ground_type")
-    fits = (F.col("material") == F.col("match_geological_material")) & ((F.col("match_grain_or_rock") == "*") | (F.col("match_grain_or_rock") == F.col("grain")))
-    best = facts.join(small(r), fits).groupBy(key).agg(F.min_by(F.struct("map_id", "match_grain_or_rock", "engineering_material_family", "engineering_ground_type"), F.struct("priority", "map_id")).alias("m"))
-    conf = F.when(F.col("m.map_id").isNull(), "very_low").when(F.col("m.match_grain_or_rock") == "*", "medium").otherwise("high")
-    return facts.join(best, key, "left").select(
-        facts["*"],
-        F.col("m.map_id").alias("map_id"),
-        F.col("m.engineering_material_family").alias("family"),
-        F.coalesce(F.col("m.engineering_ground_type"), F.lit("mixed_or_uncertain_geology")).alias("ground_type"),
-        conf.alias("l2_confidence"),
-    )
+    names = {"map_id": "map_id", "match_grain_or_rock": "g", "engineering_material_family": "family", "engineering_ground_type": "ground", "match_geological_material": "material"}
+    table = constant(rules.where("map_id is not null").select("priority", *[F.col(a).alias(b) for a, b in names.items()]))
+    fits = F.filter(table, lambda r: (r["material"] == F.col("material")) & ((r["g"] == "*") | (r["g"] == F.col("grain"))))
+    m = F.col("_m")
+    conf = F.when(m["map_id"].isNull(), "very_low").when(m["g"] == "*", "medium").otherwise("high")
+    return held(facts, F.array_min(fits)).select(*facts.columns, m["map_id"].alias("map_id"), m["family"].alias("family"), F.coalesce(m["ground"], F.lit("mixed_or_uncertain_geology")).alias("ground_type"), conf.alias("l2_confidence"))
 
 
 def severity(level: Column) -> Column:

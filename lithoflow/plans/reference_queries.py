@@ -31,7 +31,7 @@ def normalize_units(spark: SparkSession, d: str) -> DataFrame:
 
 def rule_two_pass(spark: SparkSession, d: str) -> DataFrame:
     units = inference.units(features(spark, d)).select("name", "litho").distinct()
-    return rules.match_terms(units, rules.keyword_rules(table(spark, d, "l1_geology_terms")))
+    return rules.match_terms(units, rules.keyword_rules(table(spark, d, "l1_geology_terms"))).drop("material", "grain")
 
 
 def inferred(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,7 @@ def manual_review(spark: SparkSession, d: str) -> DataFrame:
 
 def wildcard_translate(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "l1_geology_terms").select(F.coalesce("geological_material", F.lit("")).alias("material"), F.coalesce("grain_or_rock", F.lit("")).alias("grain")).distinct().withColumn("fact", F.concat_ws("/", "material", "grain"))
-    return rules.translate(facts, table(spark, d, "l2_geology_to_geotech"), "fact")
+    return rules.translate(facts, table(spark, d, "l2_geology_to_geotech"))
 
 
 def worst_confidence(spark: SparkSession, d: str) -> DataFrame:

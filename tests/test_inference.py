@@ -36,7 +36,7 @@ def test_golden_units(spark):
 def test_every_rule_reaches_its_ground(spark):
     l1 = knowledge.default_l1(spark)
     facts = l1.select(F.col("geological_material").alias("material"), F.col("grain_or_rock").alias("grain"), "term_id")
-    assert rules.translate(facts, knowledge.default_l2(spark), "term_id").where("map_id is null").count() == 0
+    assert rules.translate(facts, knowledge.default_l2(spark)).where("map_id is null").count() == 0
 
 
 def test_worst(spark):
