@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lithoflow.functions.text import nonblank
 from lithoflow.llm.folding import BLANKS, INVISIBLE_RANGES, fold
+from lithoflow.session import spread
 
 LOST = "\ufffd"
 #: Fixed values: (encoding it was read in, encoding it was in).
@@ -83,7 +84,7 @@ def to_bytes(ch: str, shown: str) -> bytes | None:
         return byte_table(shown).get(ch)
 
 
-@lru_cache(4)
+@lru_cache(None)
 def other_codes(shown: str) -> dict[str, bytes]:
     """Characters with a second code in a code page, which encoding does not give."""
     out: dict[str, bytes] = {}
@@ -372,7 +373,7 @@ def damaged(fields: DataFrame, known: list[str]) -> DataFrame:
 def judged(values: DataFrame, model: Model) -> DataFrame:
     safe = "".join(sorted(model.safe))
     sent = {"words": model.words, "chars": model.chars, "safe": model.safe}
-    odd = values.where(F.length(F.translate("value", safe, "")) > 0).select("value")
+    odd = spread(values.where(F.length(F.translate("value", safe, "")) > 0).select("value"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(**sent)
