@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, unless their path has it."""
+    root = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if getattr(sc, "_lithoflow_shipped", False) or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc._lithoflow_shipped = True
+    tmp = tempfile.mkdtemp(prefix="lithoflow-")  # on the driver, which serves it as long as it runs
+    atexit.register(shutil.rmtree, tmp, True)
+    path = f"{tmp}/lithoflow_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
