@@ -27,7 +27,7 @@ SPANS = "|".join(
     + [r"\((?:[^()]|\([^()]*\))*\)", "（(?:[^（）]|（[^（）]*）)*）", r"\[[^\[\]]*\]", "［[^［］]*］", r"(?<![A-Za-z])'[^']*'(?![A-Za-z])"]
 )
 #: Single delimiters, and the conjunctions that mean "and".
-DELIMITERS = r"、,，､﹐;；﹔/／∕|｜¦・･‧∙\t\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}+＋&＆"
+DELIMITERS = r"、,，､﹐;；﹔/／∕|｜・･‧∙\t\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}+＋&＆"
 CONJUNCTIONS = [_I.join(w) for w in ("及び", "および", "並びに", "ならびに")] + [r"(?<=\s)(?i:and)(?=\s)"]
 SPLIT = "[" + DELIMITERS + "]|" + "|".join(CONJUNCTIONS)
 #: What opens a span; a text without it needs no placeholders.
