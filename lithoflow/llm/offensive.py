@@ -15,8 +15,8 @@ Training uses a bounded sample of labelled rows (``Sample``), drawn by a hash of
 covers every document and its whole text, in Arrow batches, with array operations only.
 
 Defined results: null and empty texts have score 0 and no sentence; repeated texts are scored under
-each id; with few offending labels (or none) the seed
-words make up for them.
+each id; the seed words are learnt from at every size, with a weight that falls smoothly as the
+offending labels grow, so few labels (or none) are made up for and words no label shows stay known.
 """
 
 from __future__ import annotations
@@ -48,8 +48,9 @@ class Sample:
     unlabelled: int = 4000
 
 
-#: With fewer offending documents than this, the seed words are learnt from as well.
-SEEDED = 100
+#: What a seed word counts against a document when there are no labels, and the number of offending
+#: documents at which it counts half of that.
+SEED_WEIGHT, SEEDED = 0.5, 100
 #: Words that are abusive, hateful or sexual wherever they stand; a weak prior.
 SEEDS = (
     "fuck", "fucking", "fucked", "shit", "piece of shit", "asshole", "arsehole", "bitch", "bastard", "cunt", "dickhead", "twat", "wanker", "moron", "imbecile", "idiot", "retarded", "scumbag", "dumbass", "motherfucker",
@@ -233,14 +234,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def seed_weight(n_real: int) -> float:
+    """What a seed word counts beside ``n_real`` offending documents: never nothing."""
+    return SEED_WEIGHT * SEEDED / (SEEDED + n_real)
+
+
 def train(offending: list[str], clean: list[str], background: list[str] = [], rounds: int = 150, bias: float = -6.0, ratio: float = 6.0) -> Model:
     """Fit by projected gradient (Adam) on the noisy-or likelihood.  Candidates are n-grams that are at
-    least ``ratio`` times as frequent in offending documents as in the clean and background ones; the
+    least ``ratio`` times as frequent in offending documents as in the clean and background ones, where
+    each counts as seen once more than it was: the more offending documents there are beside the others,
+    the more of them must have it; the
     background (unlabelled documents) takes no other part, as some of it offends.  The bound on a
     weight keeps one chance n-gram from carrying a document."""
-    seeds = [f" {s} " for s in SEEDS] if len(offending) < SEEDED else []
+    seeds = [f" {s} " for s in SEEDS]
     bags = [*offending, *seeds, *clean]
     n_real, n_pos = len(offending), len(offending) + len(seeds)
+    light = seed_weight(n_real)
     df = {k: np.zeros(2**BITS, np.int32) for k in ("real", "seed", "rest")}  # document frequencies
     for kind, texts in (("real", offending), ("seed", seeds), ("rest", clean + background)):
         for at in range(0, len(texts), 100):
@@ -250,10 +259,10 @@ def train(offending: list[str], clean: list[str], background: list[str] = [], ro
                 i = in_sentence(np.arange(len(g)), n, sentence)
                 pairs = np.unique(who[i] | g[i])
                 df[kind] += np.bincount(pairs & (2**BITS - 1), minlength=2**BITS).astype(np.int32)
-    rate = ((df["real"] + df["seed"] * 0.5) / max(1, n_pos)) / ((df["rest"] + 0.5) / max(1, len(clean) + len(background)))
+    rate = ((df["real"] + df["seed"] * light) / max(1, n_real + len(seeds) * light)) / ((df["rest"] + 1) / max(1, len(clean) + len(background)))
     # what offends is itself rare in the background, so a seed's n-grams need only not be common there
     common = df["rest"] > 0.02 * max(1, len(clean) + len(background))
-    chosen = ((rate >= ratio) & (df["real"] >= (1 if n_real < 300 else 3))) | ((df["seed"] > 0) & ~common)
+    chosen = ((rate >= ratio) & (df["real"] > 0)) | ((df["seed"] > 0) & ~common)
     ids = np.flatnonzero(chosen)
     number = np.full(2**BITS, -1)
     number[ids] = np.arange(len(ids))
@@ -275,7 +284,7 @@ def train(offending: list[str], clean: list[str], background: list[str] = [], ro
     back[used] = np.arange(len(used))
     row, bag = back[row], bag[used]
     pos = bag < n_pos
-    weight = np.where(bag < n_real, 1.0, 0.5)  # seeds count less than documents
+    weight = np.where(bag < n_real, 1.0, light)  # seeds count less than documents
     w = np.full(len(ids), 0.1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):

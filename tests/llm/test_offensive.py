@@ -59,3 +59,21 @@ def test_scores_of_nulls_long_and_repeated_texts(spark):
     assert rates["s"].n_docs + rates[""].n_docs == 404
     no_labels = O.scores(docs, O.fit(docs, labels.limit(0)))
     assert no_labels.count() == 404
+
+
+def test_seed_words_hold_at_every_number_of_labels():
+    rnd = random.Random(9)
+    bad, clean = [document(rnd, True) for _ in range(320)], [document(rnd, False) for _ in range(400)]
+    for n in (0, 99, 101, 320):
+        model = O.train(bad[:n], clean, rounds=80)
+        z, _ = model.logits(["The core is sand. They wrote 害虫だ on it.", "He sent nudes and wanted to lick you all night."])
+        assert (O.sigmoid(z) >= O.OFFENDS).sum() >= 2, n
+        assert (O.sigmoid(model.logits(clean)[0]) >= O.OFFENDS).sum() == 0
+
+
+def test_candidates_do_not_jump_with_the_number_of_labels():
+    rnd = random.Random(10)
+    clean = [document(rnd, False) for _ in range(2000)]
+    bad = [document(rnd, False) + " zzyzx quomble frobnicate." if k in (0, 1) else document(rnd, True) for k in range(300)]
+    z = [O.train(bad[:n], clean, rounds=80).logits(["zzyzx quomble frobnicate."])[0].max() for n in (299, 300)]
+    assert abs(z[0] - z[1]) < 0.5 and z[1] > -2
