@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -41,9 +42,12 @@ PAIRS = (
     ("cp1252", "cp932"), ("latin-1", "cp932"), ("mac_roman", "cp932"), ("cp1251", "cp932"), ("koi8_r", "cp932"), ("gbk", "cp932"), ("euc_jp", "cp932"), ("utf-8", "cp932"),
     ("cp1252", "euc_jp"), ("latin-1", "euc_jp"), ("mac_roman", "euc_jp"), ("cp1251", "euc_jp"), ("koi8_r", "euc_jp"), ("cp932", "euc_jp"), ("gbk", "euc_jp"), ("utf-8", "euc_jp"),
 )
+#: Those of which the reverse is no damage: text read rightly has no such reading.
+ONE_WAY = tuple(p for p in PAIRS if p[::-1] not in PAIRS)
 #: Words and characters with at least this share of all tokens make the language model.
 WORD_SHARE, CHAR_SHARE = 2e-5, 1e-6
-#: A value is safe when all its characters occur in words with at least this share.
+#: A value is safe when all its characters occur in the reference list, or in words with at least this
+#: share that have no likelier reading.
 SAFE_SHARE = 3e-4
 #: How much likelier (in nats) the restored reading must be, and what a word with an unsafe character
 #: loses when the text is read as it stands: one repeated in its garbled form is no evidence for it.
@@ -277,7 +281,7 @@ def foreign_run(value: str, model: Model) -> bool:
     return False
 
 
-def read_one(value: str, model: Model) -> tuple[float, str, str] | None:
+def read_one(value: str, model: Model, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[float, str, str] | None:
     """(gain, restored, way) of the best reading that is likelier than the value by MARGIN."""
     best: tuple[float, str, str] | None = None
     whole = model.score(fold(value))
@@ -286,7 +290,7 @@ def read_one(value: str, model: Model) -> tuple[float, str, str] | None:
         return None
     first, last = min(a for a, _ in cuts), max(b for _, b in cuts)
     odd = [ch for ch in value[first:last] if ch not in model.safe and ch != LOST]
-    for shown in dict.fromkeys(p[0] for p in PAIRS):
+    for shown in dict.fromkeys(p[0] for p in pairs):
         # lost marks among plain ASCII only are what a failed reading as UTF-8 leaves
         if (not odd and shown != "utf-8") or any(to_bytes(ch, shown) is None for ch in odd):
             continue
@@ -296,7 +300,7 @@ def read_one(value: str, model: Model) -> tuple[float, str, str] | None:
             if any(raw is None and ch != LOST for raw, ch in zip(part, span)):
                 continue
             lost = LOST in span
-            for part, enc in product(codings(part, span, shown), [p[1] for p in PAIRS if p[0] == shown]):
+            for part, enc in product(codings(part, span, shown), [p[1] for p in pairs if p[0] == shown]):
                 readings: list[tuple[str, str]] = []
                 once = None if lost else strict(b"".join(part), enc)
                 if once is not None:
@@ -345,7 +349,7 @@ def distinct_values(fields: DataFrame) -> DataFrame:
 
 def fit(values: DataFrame, known: list[str]) -> Model:
     """Word and character frequencies over all rows of (value, n).  Tokens with U+FFFD, controls or
-    private-use characters are no words.  ``known``: words counted besides (a reference list)."""
+    private-use characters are no words, nor are frequent ones with a likelier reading.  ``known``: words counted besides (a reference list)."""
     text = values.where(~F.col("value").rlike(r"[\x{FFFD}\x{80}-\x{9F}\x{E000}-\x{F8FF}]"))
     tokens = text.select(F.explode(F.split("value", TOKEN_SPLIT)).alias("w"), "n").where(F.length("w") > 0)
     words = tokens.groupBy("w").agg(F.sum("n").alias("n"))
@@ -354,15 +358,58 @@ def fit(values: DataFrame, known: list[str]) -> Model:
     chars = text.select(F.explode(F.split("value", "")).alias("c"), "n").where(F.length("c") > 0).groupBy("c").agg(F.sum("n").alias("n"))
     n_chars = chars.agg(F.sum("n")).first()[0] or 1
     letters = {r[0]: r[1] for r in chars.where(F.col("n") >= max(2, n_chars * CHAR_SHARE)).collect()}
+    base = frozenset(plain_chars()) | {ch for w in known for ch in w}
+    least = max(2, total * SAFE_SHARE)
+    often = {r[0]: r[1] for r in text.where(F.col("n") >= least).collect()}
+    for v in repeated_garble(list(often), frequent, known, base):  # no evidence of words or characters
+        n = often[v]
+        for w in re.split(TOKEN_SPLIT, v, flags=re.ASCII):
+            if w in frequent:
+                frequent[w] -= n
+        for ch in v:
+            if ch in letters:
+                letters[ch] -= n
+    frequent = {w: n for w, n in frequent.items() if n >= max(2, total * WORD_SHARE)}
+    # garbled words spread over many values, none of which is frequent itself
+    for w in repeated_garble([w for w, n in frequent.items() if n >= least and len(w) > 1], frequent, known, base):
+        n = frequent.pop(w)
+        for ch in w:
+            if ch in letters:
+                letters[ch] -= n
+    letters = {ch: n for ch, n in letters.items() if n >= max(2, n_chars * CHAR_SHARE)}
+    safe = base | {ch for w, n in frequent.items() if n >= least and len(w) > 1 for ch in w if "\u4e00" <= ch <= "\u9fff"}
     for w in known:
         frequent[w] = frequent.get(w, 0) + 2
         for ch in w:
             letters[ch] = letters.get(ch, 0) + 2
-    safe = set(plain_chars()) | {ch for w in known for ch in w}
-    safe |= {ch for w, n in frequent.items() if n >= max(2, total * SAFE_SHARE) and len(w) > 1 for ch in w if "\u4e00" <= ch <= "\u9fff"}
     return Model({w: math.log(n / total) for w, n in frequent.items()}, {c: math.log(n / n_chars) for c, n in letters.items()}, frozenset(safe))
 
 
+def repeated_garble(texts: list[str], frequent: dict[str, int], known: list[str], base: frozenset[str]) -> list[str]:
+    """Those of the frequent texts (at most 1/SAFE_SHARE) that have a likelier reading.  How often a text
+    is repeated says nothing for it: words count only if all their characters are in ``base`` (the
+    reference list and plain ones), and characters count by the distinct words that have them.  Where the
+    pair of encodings is one-way, all words but the text's own count for the other reading."""
+    suspects = [t for t in texts if not base.issuperset(t)]
+    if not suspects:
+        return []
+    counts = Counter(frequent)
+    for w in known:
+        counts[w] += 2
+    kinds = Counter(ch for w in counts for ch in set(w))
+    chars = {c: math.log(n / kinds.total()) for c, n in kinds.items()}
+    words = {w: math.log(n / counts.total()) for w, n in counts.items() if n > 0}
+    strict_model, model = Model({w: lp for w, lp in words.items() if base.issuperset(w)}, chars, base), Model(words, chars, base)
+    out = []
+    for t in suspects:
+        own = {w: words.pop(w) for w in {t, *re.split(TOKEN_SPLIT, t, flags=re.ASCII)} if w in words}
+        model.kept.clear()
+        if read_one(t, strict_model) or read_one(t, model, ONE_WAY):
+            out.append(t)
+        words |= own
+    return out
+
+
 def damaged(fields: DataFrame, known: list[str]) -> DataFrame:
     """(record_id, field_name, value) -> (value, restored, way, gain): the distinct damaged values."""
     values = distinct_values(fields)

@@ -39,3 +39,17 @@ def test_repeated_rows_once_and_lost_bytes(spark):
     df = corpus(spark, []).unionByName(spark.createDataFrame([("a", "f", bad, None)] * 3 + [("b", "g", "�" * 9, None)], SCHEMA))
     got = {(r.record_id, r.field_name): r.restored for r in E.restore(df, WORDS).collect()}
     assert set(got) == {("a", "f"), ("b", "g")} and got[("a", "f")] == "前期中新世"
+
+
+def test_a_garbled_value_of_kanji_in_a_third_of_the_rows(spark):
+    ages = [w for w in WORDS if w.endswith("世")]
+    for word, enc, shown in (("粘土", "utf-8", "gbk"), ("後期更新世", "cp932", "gbk"), ("片麻岩", "euc_jp", "gbk")):
+        bad = garble(word, enc, shown)
+        assert E.LOST not in bad and all("一" <= ch <= "鿿" for ch in bad), bad
+        skewed = corpus(spark, [bad] * 1500)
+        got = {r.record_id: r.restored for r in E.restore(skewed, [w for w in WORDS if w not in ages]).collect()}
+        assert set(got) == {f"x{k}" for k in range(1500)} and set(got.values()) == {word}, (word, bad, len(got))
+
+
+def test_a_frequent_plain_value_outside_the_reference_list_is_left_alone(spark):
+    assert E.restore(corpus(spark, ["蘭狸蟹礫"] * 1500 + ["鑿岩"] * 700), WORDS[:3]).count() == 0
