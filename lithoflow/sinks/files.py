@@ -173,8 +173,8 @@ def write_gpkg(path: str, layers: dict[str, DataFrame], geom: str = "rings", srs
     return done
 
 
-def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A table of at most ``most`` rows for a report."""
+def markdown(df: DataFrame, title: str) -> str:
+    """A table of all rows for a report."""
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    lines += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in df.limit(most).collect()]
+    lines += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in df.toLocalIterator()]
     return "\n".join(lines) + "\n"

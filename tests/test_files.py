@@ -124,3 +124,8 @@ def test_single_files_of_empty_tables(spark, tmp_path):
     one = spark.createDataFrame([("あ", ["x"], True), (None, None, None)], df.schema)
     files.write_csv_file(one, str(tmp_path / "o.csv"))
     assert (tmp_path / "o.csv").read_text("utf-8-sig").splitlines()[1:] == ['あ,"[""x""]",True', ",,"]
+
+
+def test_a_report_has_all_rows(spark):
+    text = files.markdown(spark.range(2536).orderBy("id"), "Sheets")
+    assert text.splitlines()[4:] == [f"| {k} |" for k in range(2536)]
