@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,13 +102,13 @@ def found(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> DataFr
     return out.distinct()
 
 
-def cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey], most: int = 20) -> DataFrame:
+def cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> DataFrame:
     """The fixpoint: (table_name, record_id, ref_value, reason, kind, depth, at).
 
     Direct orphans have depth 0.  A record whose target is itself an orphan is ``inherited``, with
     reason ``orphaned target``; semi-joins go down the foreign-key graph from what the last round
-    added until a round adds nothing (or ``most`` rounds: only a cycle longer than that stops there,
-    since each record is entered once).  The rows of each round are written to the shared folder, so
+    added until a round adds nothing; it ends for cycles too, since each record is entered in one round
+    only.  The rows of each round are written to the shared folder, so
     the plan does not grow with the depth.
     """
     done = None
@@ -117,7 +118,7 @@ def cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey], most: i
     done = cut(done.distinct().withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}))
     last = done
     parents = {fk.parent.name for fk in keys}
-    for depth in range(1, most + 1):
+    for depth in count(1):
         new = None
         for fk in keys:
             if fk.parent.name not in {k.child for k in keys}:

@@ -41,3 +41,9 @@ def test_cascade_reaches_grandchildren_and_cycles_end(spark):
     assert got[("z", "z1")] == ("inherited", 3) and got[("a", "a2")] == ("inherited", 4) and len(got) == 7
     counts = {(r.table_name, r.kind): r.n_records for r in O.report(O.cascade(t, keys)).collect()}
     assert counts[("c", "inherited")] == 2
+
+
+def test_cascade_goes_down_chains_of_any_depth(spark):
+    t = {"a": spark.createDataFrame([(f"n{k}", f"n{k - 1}") for k in range(1, 25)], "id string, ref string")}
+    got = {r.record_id: r.depth for r in O.cascade(t, [O.ForeignKey("a", "id", "ref", O.Parent("a", "id"))]).collect()}
+    assert got == {f"n{k}": k - 1 for k in range(1, 25)}
