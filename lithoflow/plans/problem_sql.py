@@ -69,9 +69,22 @@ u as (select * from steps union all {elements('risk_flags', 'f', 'w', '-1')} uni
   union all {elements('evidence', 'ev', 't', 'pos')} union all {elements('sources', 'so', 't', 'pos')} union all {elements('investigation', 'inv', 't', 'pos')})
 select distinct k as geology_unit_card_id, node, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos from u where cast(e as varchar) not in ('null', '""', '{{}}', '[]')"""
 
-P1_SOURCES = P1[: P1.index("select distinct k as")].rstrip() + """
-select distinct k as geology_unit_card_id, 'chain' as parent_table, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos, nullif(e ->> '$.id', '') as id, nullif(e ->> '$.tier', '') as tier, nullif(e ->> '$.title', '') as title, nullif(e ->> '$.url', '') as url
-from u where node = 'sources' and cast(e as varchar) not in ('null', '""', '{}', '[]')"""
+P1_ROWS = P1[: P1.index("select distinct k as")].rstrip()
+
+
+def card_sql(node: str, parent: str, at: str, **columns: str) -> str:
+    """The rows of one table of the cards; ``at``: the path of its list below the parent row."""
+    up = "''" if parent == "record" else f"'/{parent}/' || parent_pos"
+    cols = ", ".join(f"nullif({x}, '') as {c}" for c, x in columns.items())
+    return f"""{P1_ROWS}
+select distinct k as geology_unit_card_id, '{parent}' as parent_table, {up} as parent_id, {up} || '{at}/' || pos as row_id, cast(parent_pos as integer) as parent_pos, cast(pos as integer) as pos, {cols}
+from u where node = '{node}' and cast(e as varchar) not in ('null', '""', '{{}}', '[]')"""
+
+
+PLAIN = "case when json_type(e) not in ('OBJECT', 'ARRAY') then e ->> '$' end"
+P1_VERTICES = """with g as (select distinct feature_id, geom from geology_features where geom is not null),
+r as (select feature_id, unnest(geom) as ring, generate_subscripts(geom, 1) - 1 as r from g), v as (select feature_id, r, unnest(ring) as p, generate_subscripts(ring, 1) - 1 as v from r)
+select feature_id, '/shape/parts/0/rings/' || r as parent_id, '/shape/parts/0/rings/' || r || '/' || v as row_id, cast(r as integer) as parent_pos, cast(v as integer) as pos, p.lon as lon, p.lat as lat from v where p.lon is not null or p.lat is not null"""
 
 # without the lookarounds that DuckDB's expressions lack; no field has what they guard against
 P6_SPANS = "|".join(x for x in SPANS.split("|") if "?<!" not in x).replace("'", "''")
@@ -83,7 +96,16 @@ select record_id, field_name, cast(unnest(range(1, n + 1)) as integer) as pos fr
 
 SQL = {
     "p1_found": P1,
-    "p1_sources": P1_SOURCES,
+    "p1_steps": card_sql(
+        "chain", "record", "/chain", step="e ->> '$.step'", title_en="e ->> '$.title_en'", confidence="e ->> '$.confidence'", knowledge_ref="e ->> '$.knowledge_ref'", inputs_raw_unit_name_ja="e ->> '$.inputs.raw_unit_name_ja'",
+        inputs_detail_age="e ->> '$.inputs.detail.age'", outputs_engineering_ground_type="e ->> '$.outputs.engineering_ground_type'", outputs_mechanical_spt_n="e ->> '$.outputs.mechanical.spt_n'", outputs_age_refined="e ->> '$.outputs.age_refined'",
+    ),
+    "p1_sources": card_sql("sources", "chain", "/sources", id="e ->> '$.id'", tier="e ->> '$.tier'", title="e ->> '$.title'", url="e ->> '$.url'"),
+    "p1_evidence": card_sql("evidence", "chain", "/evidence", value=PLAIN),
+    "p1_investigations": card_sql("investigation", "chain", "/outputs/recommended_investigation", value=PLAIN),
+    "p1_flags": card_sql("risk_flags", "record", "/risk_flags", value=PLAIN),
+    "p1_figures": card_sql("pdf_asset_ids", "record", "/source_evidence/pdf_asset_ids", value=PLAIN, asset_id="e ->> '$.asset_id'", page="e ->> '$.page'"),
+    "p1_vertices": P1_VERTICES,
     "p5_orphan_report": P5_REPORT,
     "p6_found": P6,
     "p3_found": f"""with {POINTS}, {VERTICES}, {HITS}, {REGIONS}, {NEAR}

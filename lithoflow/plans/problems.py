@@ -41,12 +41,44 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.links(table(spark, d, "inference_chains"), nested.CARDS)
 
 
+def card_table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """A table of the cards with the given columns inlined from it (null where no card has them)."""
+    own = nested.tables(table(spark, d, "inference_chains"), nested.CARDS, only=[name]).get(name)
+    if own is None:
+        own = spark.createDataFrame([], "geology_unit_card_id string, parent_table string, parent_id string, row_id string, parent_pos int, pos int")
+    have = {c.lower() for c in own.columns}
+    return own.select("geology_unit_card_id", *nested.FIXED, *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+
+
 def p1_steps(spark: SparkSession, d: str) -> DataFrame:
-    return nested.tables(table(spark, d, "inference_chains"), nested.CARDS)["chain"]
+    return card_table(spark, d, "chain", "step", "title_en", "confidence", "knowledge_ref", "inputs_raw_unit_name_ja", "inputs_detail_age", "outputs_engineering_ground_type", "outputs_mechanical_spt_n", "outputs_age_refined")
 
 
 def p1_sources(spark: SparkSession, d: str) -> DataFrame:
-    return nested.tables(table(spark, d, "inference_chains"), nested.CARDS)["sources"]
+    return card_table(spark, d, "sources", "id", "tier", "title", "url")
+
+
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return card_table(spark, d, "evidence", "value")
+
+
+def p1_investigations(spark: SparkSession, d: str) -> DataFrame:
+    return card_table(spark, d, "investigation", "value")
+
+
+def p1_flags(spark: SparkSession, d: str) -> DataFrame:
+    return card_table(spark, d, "risk_flags", "value")
+
+
+def p1_figures(spark: SparkSession, d: str) -> DataFrame:
+    return card_table(spark, d, "pdf_asset_ids", "value", "asset_id", "page")
+
+
+def p1_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """A list in a list below another list: the vertices of all shapes, from their nested text."""
+    shapes = table(spark, d, "geology_features").where("geom is not null").select("feature_id", F.to_json(F.struct(F.array(F.struct(F.col("geom").alias("rings"))).alias("parts"))).alias("shape"))
+    own = nested.tables(shapes, nested.Nested(key="feature_id", columns=("shape",)), only=["rings_item"])["rings_item"]
+    return own.select("feature_id", "parent_id", "row_id", "parent_pos", "pos", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ FLAGSHIP = "inference_chain_flat"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (problems.p1_found, problems.p1_steps, problems.p1_sources, problems.p3_found, problems.p5_found, problems.p5_orphan_report, problems.p6_found, problems.p6_values)
+    own = (problems.p1_found, problems.p1_steps, problems.p1_sources, problems.p1_evidence, problems.p1_investigations, problems.p1_flags, problems.p1_figures, problems.p1_vertices, problems.p3_found, problems.p5_found, problems.p5_orphan_report, problems.p6_found, problems.p6_values)
     return {f.__name__: f for f in (*reference_queries.QUERIES, *own)}
 
 
