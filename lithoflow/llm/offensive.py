@@ -11,12 +11,15 @@ Disguises are undone before the n-grams are taken: case, width, look-alikes, dig
 letters, stretched and spaced-out words, invisible characters.  Signs in place of letters become one
 mask sign.
 
-Training uses a bounded sample of labelled rows (``Sample``), drawn by a hash of the id; scoring
-covers every document and its whole text, in Arrow batches, with array operations only.
+Training uses a bounded sample of labelled rows (``Sample``), drawn by a hash of the id, and the document
+frequencies of its n-grams over all documents, in one aggregated pass.  Scoring covers every document and
+its whole text.  Texts stay on the executors, in Arrow batches with array operations; what comes to the
+driver is the n-grams that tell (each seen in a labelled offending document) and where the labelled
+documents have them.
 
 Defined results: null and empty texts have score 0 and no sentence; repeated texts are scored under
-each id; the seed words are learnt from at every size, with a weight that falls smoothly as the
-offending labels grow, so few labels (or none) are made up for and words no label shows stay known.
+each id.  What is learnt comes from the labels alone, by the same steps at every size: without any
+offending label nothing is known and all scores are 0.
 """
 
 from __future__ import annotations
@@ -31,32 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithoflow.llm.folding import fixed_map
+from lithoflow.session import cut
 
 BITS = 20
 SIZES = (2, 3, 4, 5)
 #: The probability from which a sentence is offending: low, as the weights are held down by their penalty.
 OFFENDS = 0.2
+#: A sentence without any n-gram that tells has this logit; how many times as frequent an n-gram that tells
+#: is in offending documents.
+BIAS, RATIO = -6.0, 6.0
 
 
 @dataclass(frozen=True)
 class Sample:
-    """At most so many labelled offending, labelled clean and unlabelled documents are learnt from;
-    the unlabelled only show which n-grams are common."""
+    """At most so many labelled offending and labelled clean documents are learnt from."""
 
     offending: int = 2000
     clean: int = 3000
-    unlabelled: int = 4000
-
-
-#: What a seed word counts against a document when there are no labels, and the number of offending
-#: documents at which it counts half of that.
-SEED_WEIGHT, SEEDED = 0.5, 100
-#: Words that are abusive, hateful or sexual wherever they stand; a weak prior.
-SEEDS = (
-    "fuck", "fucking", "fucked", "shit", "piece of shit", "asshole", "arsehole", "bitch", "bastard", "cunt", "dickhead", "twat", "wanker", "moron", "imbecile", "idiot", "retarded", "scumbag", "dumbass", "motherfucker",
-    "cretin", "half-witted", "brainless", "pathetic", "useless pig", "go to hell", "kill yourself", "drown yourself", "smash your teeth", "i spit on your", "subhuman", "filthy animals", "wipe them out", "parasites", "should be locked away", "are too stupid", "porn", "horny", "naked body", "send nudes", "jerked off", "her tits", "had sex", "moaned", "lick you", "masturbat", "blowjob", "slut", "whore",
-    "死ね", "タヒね", "クズだ", "クソ野郎", "無能なゴミ", "ただのバカ", "能無し", "間抜け", "役立たず", "てめえ", "貴様", "卑怯者", "腐った豚", "ぶん殴", "殺すぞ", "消えろ", "害虫だ", "汚らわしい", "追い出せ", "生きている価値がない", "頭が悪い", "自慰", "エロ動画", "セックス", "裸の写真", "喘ぎ声", "胸を揉み", "興奮する", "変態", "障害者は役立たず",
-)
+
+
 LEET = {"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "|": "l", "€": "e", "£": "l"}
 MASKS = "*○●◯〇×✕＊#"
 MASK_POINTS = [ord(m) for m in MASKS]
@@ -112,8 +108,9 @@ def class_table() -> tuple[np.ndarray, np.ndarray]:
     return k, leet
 
 
-def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(folded characters, their sentence, the document of each sentence) of the texts.
+def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded characters, their sentence, the document of each sentence, the place of each character in
+    the texts joined by line ends) of the texts.
 
     Sentences end after ``.`` before a blank or a Japanese letter, after ``!?`` and the Japanese stop,
     and at line ends; a document starts a sentence.  What is rare is found once by its class and
@@ -121,11 +118,12 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     c = char_table()[raw]
+    place = np.arange(len(c))
     gone = c == 0
     if gone.any():
         left = np.cumsum(~gone)
         ends = left[ends] - 1
-        c = c[~gone]
+        c, place = c[~gone], place[~gone]
     apart = np.flatnonzero((c == 0x3099) | (c == 0x309A))
     if len(apart):  # kana with a voicing mark written apart
         apart = apart[apart > 0]
@@ -135,7 +133,7 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = np.ones(len(c), bool)
         keep[apart] = False
         ends = np.cumsum(keep)[ends] - 1
-        c = c[keep]
+        c, place = c[keep], place[keep]
     kinds, leet = class_table()
     k = kinds[c]
     n = len(c)
@@ -181,14 +179,14 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         drop[lines], stop[lines] = True, False
     drop[ends], stop[ends] = False, True
     keep = ~drop | stop
-    c = c[keep]
+    c, place = c[keep], place[keep]
     c[(kinds[c] & DIGIT) > 0] = 48
     closing = np.flatnonzero(stop[keep])
     sizes = np.diff(np.r_[-1, closing])
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     ends = np.cumsum(keep)[ends] - 1
     doc = np.searchsorted(ends, closing)
-    return c.astype(np.uint64), sentence, doc
+    return c.astype(np.uint64), sentence, doc, place
 
 
 def grams(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -222,7 +220,7 @@ class Model:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(logit of each sentence, its document)."""
-        c, sentence, doc = prepare(texts)
+        c, sentence, doc, _ = prepare(texts)
         z = np.full(len(doc), self.bias)
         for n, g in grams(c):
             hit = in_sentence(np.flatnonzero(self.any[g]), n, sentence)  # most n-grams carry no weight
@@ -234,82 +232,162 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def seed_weight(n_real: int) -> float:
-    """What a seed word counts beside ``n_real`` offending documents: never nothing."""
-    return SEED_WEIGHT * SEEDED / (SEEDED + n_real)
-
-
-def train(offending: list[str], clean: list[str], background: list[str] = [], rounds: int = 150, bias: float = -6.0, ratio: float = 6.0) -> Model:
-    """Fit by projected gradient (Adam) on the noisy-or likelihood.  Candidates are n-grams that are at
-    least ``ratio`` times as frequent in offending documents as in the clean and background ones, where
-    each counts as seen once more than it was: the more offending documents there are beside the others,
-    the more of them must have it; the
-    background (unlabelled documents) takes no other part, as some of it offends.  The bound on a
-    weight keeps one chance n-gram from carrying a document."""
-    seeds = [f" {s} " for s in SEEDS]
-    bags = [*offending, *seeds, *clean]
-    n_real, n_pos = len(offending), len(offending) + len(seeds)
-    light = seed_weight(n_real)
-    df = {k: np.zeros(2**BITS, np.int32) for k in ("real", "seed", "rest")}  # document frequencies
-    for kind, texts in (("real", offending), ("seed", seeds), ("rest", clean + background)):
-        for at in range(0, len(texts), 100):
-            c, sentence, doc = prepare(texts[at : at + 100])
-            who = doc[sentence].astype(np.int64) << BITS
-            for n, g in grams(c):
-                i = in_sentence(np.arange(len(g)), n, sentence)
-                pairs = np.unique(who[i] | g[i])
-                df[kind] += np.bincount(pairs & (2**BITS - 1), minlength=2**BITS).astype(np.int32)
-    rate = ((df["real"] + df["seed"] * light) / max(1, n_real + len(seeds) * light)) / ((df["rest"] + 1) / max(1, len(clean) + len(background)))
-    # what offends is itself rare in the background, so a seed's n-grams need only not be common there
-    common = df["rest"] > 0.02 * max(1, len(clean) + len(background))
-    chosen = ((rate >= ratio) & (df["real"] > 0)) | ((df["seed"] > 0) & ~common)
-    ids = np.flatnonzero(chosen)
+def blocks(texts: list[str], most: int = 250_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with about ``most`` characters, whatever their lengths."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < most):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def frequencies(texts: list[str], of: np.ndarray | None = None) -> np.ndarray:
+    """The number of texts with each n-gram; ``of``: only of these."""
+    df = np.zeros(2**BITS, np.int64)
+    wanted = np.ones(2**BITS, bool) if of is None else np.zeros(2**BITS, bool)
+    if of is not None:
+        wanted[of] = True
+    for at, end in blocks(texts):
+        c, sentence, doc, _ = prepare(texts[at:end])
+        who = doc.astype(np.int64) << BITS
+        found = []
+        for n, g in grams(c):
+            i = in_sentence(np.flatnonzero(wanted[g]), n, sentence)
+            found.append(who[sentence[i]] | g[i])
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        df += np.bincount(pairs & (2**BITS - 1), minlength=2**BITS)
+    return df
+
+
+@dataclass
+class Bags:
+    """Labelled documents as bags of sentences: for each n-gram that stands in one, its sentence and its
+    place among the candidates, and for each sentence with any its document; ``bad`` per document."""
+
+    row: np.ndarray
+    col: np.ndarray
+    bag: np.ndarray
+    bad: np.ndarray
+
+
+def features(texts: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, sentence, candidate) of every occurrence of the candidate n-grams."""
     number = np.full(2**BITS, -1)
     number[ids] = np.arange(len(ids))
-    rows: list[np.ndarray] = []
-    cols: list[np.ndarray] = []
-    bag_of: list[np.ndarray] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n_sent = 0
-    for at in range(0, len(bags), 100):
-        c, sentence, doc = prepare(bags[at : at + 100])
+    for at, end in blocks(texts):
+        c, sentence, doc, _ = prepare(texts[at:end])
         for n, g in grams(c):
             i = in_sentence(np.flatnonzero(number[g] >= 0), n, sentence)
-            rows.append(sentence[i] + n_sent)
-            cols.append(number[g[i]])
-        bag_of.append(doc + at)
+            out.append((doc[sentence[i]] + at, sentence[i] + n_sent, number[g[i]]))
         n_sent += len(doc)
-    row, col, bag = np.concatenate(rows), np.concatenate(cols), np.concatenate(bag_of)
-    used = np.unique(row)  # other sentences stay at the bias
-    back = np.full(n_sent, -1)
-    back[used] = np.arange(len(used))
-    row, bag = back[row], bag[used]
-    pos = bag < n_pos
-    weight = np.where(bag < n_real, 1.0, light)  # seeds count less than documents
-    w = np.full(len(ids), 0.1)
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def telling(offending: np.ndarray, n_offending: int, rest: np.ndarray, n_rest: int, ratio: float) -> np.ndarray:
+    """Which n-grams are at least ``ratio`` times as frequent in offending documents as in the rest, where
+    each counts as seen once more than it was."""
+    return (offending > 0) & (offending / max(1, n_offending) >= ratio * (rest + 1) / max(1, n_rest))
+
+
+def optimise(bags: Bags, n_ids: int, rounds: int = 150, bias: float = BIAS) -> np.ndarray:
+    """Weights by projected gradient (Adam) on the noisy-or likelihood of the documents' labels.  The bound
+    on a weight keeps one chance n-gram from carrying a document."""
+    w = np.full(n_ids, 0.1)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    pos = bags.bad[bags.bag]
     for t in range(1, rounds + 1):
-        p = sigmoid(bias + np.bincount(row, w[col], len(used)))
-        q = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)))
-        grad_z = np.where(pos, -p * (q / np.maximum(1 - q, 1e-6))[bag] * weight, p)
-        g = np.bincount(col, grad_z[row], len(w)) + 0.003 * w + 0.0005
+        p = sigmoid(bias + np.bincount(bags.row, w[bags.col], len(bags.bag)))
+        q = np.exp(np.bincount(bags.bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags.bad)))
+        grad_z = np.where(pos, -p * (q / np.maximum(1 - q, 1e-6))[bags.bag], p)
+        g = np.bincount(bags.col, grad_z[bags.row], n_ids) + 0.003 * w + 0.0005
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = np.clip(w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6), 0, 2.0)
+    return np.where(w > 1e-3, w, 0)
+
+
+def bags_of(doc: np.ndarray, sentence: np.ndarray, col: np.ndarray, bad: np.ndarray) -> Bags:
+    """Only the sentences with candidates take part; others stay at the bias."""
+    used, row = np.unique(sentence, return_inverse=True)
+    bag = np.zeros(len(used), np.int64)
+    bag[row] = doc
+    return Bags(row, col, bag, bad)
+
+
+def model_of(ids: np.ndarray, weights: np.ndarray) -> Model:
     full = np.zeros(2**BITS, dtype=np.float32)
-    full[ids] = np.where(w > 1e-3, w, 0)
-    return Model(full, bias)
+    full[ids] = weights
+    return Model(full, BIAS)
+
+
+def train(offending: list[str], clean: list[str], others: list[str] = [], rounds: int = 150) -> Model:
+    """The model of a few texts at hand, by the steps of ``fit``; ``others`` are unlabelled."""
+    bad, rest = frequencies(offending), frequencies(clean)
+    every = bad + rest + frequencies(others)
+    n = len(offending), len(clean), len(offending) + len(clean) + len(others)
+    ids = np.flatnonzero(telling(bad, n[0], rest, n[1], RATIO) & telling(bad, n[0], every, n[2], RATIO))
+    bags = bags_of(*features([*offending, *clean], ids), np.arange(n[0] + n[1]) < n[0])
+    return model_of(ids, optimise(bags, len(ids), rounds))
+
+
+def gram_counts(texts: DataFrame, of: np.ndarray | None = None) -> DataFrame:
+    """(text, ...) -> (gram, n): partial document frequencies, one row per partition and n-gram."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(2**BITS, np.int64)
+        for b in batches:
+            df += frequencies(b["text"].tolist(), of)
+        ids = np.flatnonzero(df)
+        yield pd.DataFrame({"gram": ids.astype("int32"), "n": df[ids]})
+
+    return texts.select("text").mapInPandas(run, "gram int, n long")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     """From (doc_id, text) and (doc_id, category: ``none`` or a kind of offence).  A document with both
-    verdicts counts as offending."""
+    verdicts counts as offending.
+
+    N-grams that tell the labelled offending documents from the labelled clean ones are candidates; of
+    these, the ones that stay when their frequency over all documents is taken are learnt.  (Some
+    unlabelled documents offend too, but few beside all.)"""
     verdict = labels.where("doc_id is not null and category is not null").groupBy("doc_id").agg(F.max((F.col("category") != "none").cast("int")).alias("bad"))
     order = F.xxhash64("doc_id")
     text = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
     # the ids are sampled first, so only the chosen texts are moved
     chosen = verdict.where("bad = 1").orderBy(order).limit(sample.offending).unionByName(verdict.where("bad = 0").orderBy(order).limit(sample.clean))
-    rest = text.select("doc_id").join(verdict, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("bad")).orderBy(order).limit(sample.unlabelled)
-    got = text.join(F.broadcast(chosen.unionByName(rest)), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "bad", "text").orderBy("doc_id").collect()
-    return train(*([r[2] for r in got if r[1] == k] for k in (1, 0, -1)))
+    read = cut(text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    size = {r[0]: r[1] for r in read.groupBy("bad").count().collect()}
+    if not size.get(1):
+        return model_of(np.zeros(0, np.int64), np.zeros(0))
+    n_bad, n_clean = size[1], max(1, size.get(0, 0))
+    sides = [gram_counts(read.where(F.col("bad") == k)).groupBy("gram").agg(F.sum("n").alias(f"n{k}")) for k in (1, 0)]
+    both = sides[0].join(sides[1], "gram", "left").where(F.col("n1") / n_bad >= RATIO * (F.coalesce("n0", F.lit(0)) + 1) / n_clean)
+    known = both.select("gram", "n1").toArrow()
+    ids, bad = known["gram"].to_numpy().astype(np.int64), known["n1"].to_numpy()
+    n_docs = text.count()
+    every = gram_counts(text, ids).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rest = np.zeros(2**BITS, np.int64)
+    rest[every["gram"].to_numpy()] = every["n"].to_numpy()
+    ids = np.sort(ids[telling(bad, n_bad, rest[ids], n_docs, RATIO)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            doc, sentence, col = features(b["text"].tolist(), ids)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[doc], "bad": b["bad"].to_numpy()[doc], "sentence": sentence.astype("int32"), "col": col.astype("int32")})
+
+    got = read.select("doc_id", "bad", "text").mapInPandas(run, "doc_id long, bad int, sentence int, col int").orderBy("doc_id", "sentence", "col").toPandas()
+    docs, doc = np.unique(got["doc_id"].to_numpy(), return_inverse=True)
+    offends = np.zeros(len(docs), bool)
+    offends[doc] = got["bad"].to_numpy() == 1
+    # sentences are numbered within a block of texts, so a sentence is known by its document and number
+    sentence = np.unique(np.stack([doc, got["sentence"].to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1) if len(got) else np.zeros(0, np.int64)
+    return model_of(ids, optimise(bags_of(doc, sentence, got["col"].to_numpy(), offends), len(ids)))
 
 
 def scores(documents: DataFrame, model: Model, offends: float = OFFENDS) -> DataFrame:
@@ -326,12 +404,7 @@ def scores(documents: DataFrame, model: Model, offends: float = OFFENDS) -> Data
         for b in batches:
             texts = b["text"].fillna("").tolist()
             out = []
-            at = 0
-            while at < len(texts):  # blocks of bounded size, whatever the lengths
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 250_000):
-                    size += len(texts[end])
-                    end += 1
+            for at, end in blocks(texts):
                 z, doc = own.logits(texts[at:end])
                 p = sigmoid(z)
                 n = end - at
@@ -350,7 +423,6 @@ def scores(documents: DataFrame, model: Model, offends: float = OFFENDS) -> Data
                         }
                     )
                 )
-                at = end
             res = pd.concat(out) if out else pd.DataFrame({"score": [], "n_offending": [], "worst": []})
             res.insert(0, "doc_id", b["doc_id"].to_numpy())
             res["worst"] = res["worst"].where(res["worst"] >= 0)
@@ -360,6 +432,38 @@ def scores(documents: DataFrame, model: Model, offends: float = OFFENDS) -> Data
     return rows.where("doc_id is not null")
 
 
+def sentences(documents: DataFrame, model: Model, offends: float = OFFENDS) -> DataFrame:
+    """(doc_id, sentence, start, text, score) of every offending sentence: its position in the document,
+    the characters before it (both from 0) and its text as written, without blanks around it."""
+    ids = np.flatnonzero(model.weights)
+    sent = documents.sparkSession.sparkContext.broadcast((ids, model.weights[ids]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = model_of(*sent.value)
+        for b in batches:
+            rows = []
+            texts = b["text"].tolist()
+            for at, end in blocks(texts):
+                part = texts[at:end]
+                z, doc = own.logits(part)
+                bad = np.flatnonzero(sigmoid(z) >= offends)
+                if not len(bad):
+                    continue
+                _, sentence, _, place = prepare(part)
+                begins = np.cumsum([0, *[len(t) + 1 for t in part]])
+                first = place[np.searchsorted(sentence, np.arange(len(doc) + 1)).clip(max=len(place) - 1)]
+                for s in bad:
+                    k = doc[s]
+                    start = int(max(first[s], begins[k]) - begins[k])
+                    stop = int(first[s + 1] - begins[k]) if s + 1 < len(doc) and doc[s + 1] == k else len(part[k])
+                    written = part[k][start:stop]
+                    start += len(written) - len(written.lstrip())
+                    rows.append((b["doc_id"].iloc[at + k], int(s - np.searchsorted(doc, k)), start, written.strip(), float(sigmoid(z[s]))))
+            yield pd.DataFrame(rows, columns=["doc_id", "sentence", "start", "text", "score"])
+
+    return documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text").mapInPandas(run, "doc_id long, sentence int, start int, text string, score double")
+
+
 def rates(documents: DataFrame, scored: DataFrame) -> DataFrame:
     """(source, n_docs, n_offending, rate) per source; documents without one under ''."""
     return (

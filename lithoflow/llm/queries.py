@@ -98,9 +98,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, planned), planned)
 
 
+def p10_model(spark: SparkSession, d: str) -> offensive.Model:
+    return offensive.fit(table(spark, d, "documents"), table(spark, d, "doc_review_labels"))
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return offensive.scores(docs, offensive.fit(docs, table(spark, d, "doc_review_labels")))
+    return offensive.scores(table(spark, d, "documents"), p10_model(spark, d))
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return offensive.sentences(table(spark, d, "documents"), p10_model(spark, d)).distinct()
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_held_out_accuracy_and_place():
 
 
 def text_of(t):
-    c, sentence, doc = O.prepare([t])
+    c, *_ = O.prepare([t])
     return "".join(map(chr, c.tolist())).strip()
 
 
@@ -40,7 +40,7 @@ def test_disguises_are_undone():
 
 
 def test_sentences():
-    _, sentence, doc = O.prepare(["One. Two!\nThree 1.5 m", "四。五。", "x"])
+    _, sentence, doc, _ = O.prepare(["One. Two!\nThree 1.5 m", "四。五。", "x"])
     assert doc.tolist().count(0) >= 3 and sorted(set(doc.tolist())) == [0, 1, 2]
 
 
@@ -57,23 +57,24 @@ def test_scores_of_nulls_long_and_repeated_texts(spark):
     assert sum(got[k].n_offending > 0 for k in range(60)) > 44 and sum(got[k].n_offending > 0 for k in range(60, 400)) <= 2
     rates = {r.source: r for r in O.rates(docs, scored).collect()}
     assert rates["s"].n_docs + rates[""].n_docs == 404
-    no_labels = O.scores(docs, O.fit(docs, labels.limit(0)))
-    assert no_labels.count() == 404
+    where = {r.doc_id: r for r in O.sentences(docs, O.fit(docs, labels)).where("doc_id >= 1000").collect()}
+    assert where[1002].sentence == 20000 and where[1002].text == "Those foreigners are vermin and should be driven out." and where[1002].start == 13 * 20000
+    unfitted = O.scores(docs, O.fit(docs, labels.where("category = 'none'"))).collect()
+    assert len(unfitted) == 404 and all(r.score == 0.0 and r.n_offending == 0 for r in unfitted)
 
 
-def test_seed_words_hold_at_every_number_of_labels():
-    rnd = random.Random(9)
-    bad, clean = [document(rnd, True) for _ in range(320)], [document(rnd, False) for _ in range(400)]
-    for n in (0, 99, 101, 320):
-        model = O.train(bad[:n], clean, rounds=80)
-        z, _ = model.logits(["The core is sand. They wrote 害虫だ on it.", "He sent nudes and wanted to lick you all night."])
-        assert (O.sigmoid(z) >= O.OFFENDS).sum() >= 2, n
-        assert (O.sigmoid(model.logits(clean)[0]) >= O.OFFENDS).sum() == 0
+def test_the_fit_on_tables_is_the_fit_on_texts(spark):
+    rnd = random.Random(11)
+    rows = [(k, document(rnd, k < 40)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "abusive" if k < 40 else "none") for k in range(200)], "doc_id long, category string")
+    a, b = O.fit(docs, labels), O.train([t for k, t in rows if k < 40], [t for k, t in rows if 40 <= k < 200], [t for k, t in rows if k >= 200])
+    assert np.array_equal(a.weights > 0, b.weights > 0) and np.abs(a.weights - b.weights).max() < 1e-4
 
 
-def test_candidates_do_not_jump_with_the_number_of_labels():
+def test_the_same_steps_at_every_number_of_labels():
     rnd = random.Random(10)
     clean = [document(rnd, False) for _ in range(2000)]
     bad = [document(rnd, False) + " zzyzx quomble frobnicate." if k in (0, 1) else document(rnd, True) for k in range(300)]
-    z = [O.train(bad[:n], clean, rounds=80).logits(["zzyzx quomble frobnicate."])[0].max() for n in (299, 300)]
-    assert abs(z[0] - z[1]) < 0.5 and z[1] > -2
+    z = [O.train(bad[:n], clean, rounds=80).logits(["zzyzx quomble frobnicate."])[0].max() for n in (99, 101, 299, 300)]
+    assert abs(z[0] - z[1]) < 0.5 and abs(z[2] - z[3]) < 0.5 and min(z) > -2, z
