@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,7 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """The rows over all cores, for work that is long beside its rows; adaptive execution would put
-    small rows into a single task."""
+    small rows into a single task.  By a hash of the keys: rows that are already partitioned by the keys
+    themselves would stay where they are, and be put together again."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    return df.repartition(n, F.xxhash64(*keys)) if keys else df.repartition(n)
