@@ -1,8 +1,10 @@
 """Texts decoded with the wrong character encoding: which they are, and what they were.
 
-Noisy-channel decoding.  A damaged span is turned back into the bytes it was shown from, as a lattice
-in which lost characters are wildcards; a Viterbi search over words and characters with their corpus
-frequencies finds the likeliest text whose bytes fit.  The corpus is the fields themselves: a text is
+Noisy-channel decoding.  A value is a lattice: of its characters as they stand, and, around odd ones, of
+the bytes they were shown from, in which a lost character is a wildcard for one byte or two and a
+character with two codes has both.  A Viterbi search over words and characters with their corpus
+frequencies finds the likeliest text that fits; it chooses which spans are read as they stand and which
+from their bytes, so a value may hold several damaged spans.  The corpus is the fields themselves: a text is
 told to be damaged when the restored reading is far likelier under those frequencies than the text as
 it stands, or when it holds characters only a wrong decoding leaves (U+FFFD, C1 controls, private use).
 
@@ -23,7 +25,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import product
 from typing import Any
 
 import numpy as np
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 
 from lithoflow.functions.text import nonblank
 from lithoflow.llm.folding import BLANKS, INVISIBLE_RANGES, fold
-from lithoflow.session import spread
+from lithoflow.session import cut, spread
 
 LOST = "\ufffd"
-#: Fixed values: (encoding it was read in, encoding it was in).
+#: Fixed values: (encoding it was read in, encoding it was in); a|b|a: written in a, read in b, written again.
 PAIRS = (
     ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp1251", "utf-8"), ("koi8_r", "utf-8"), ("cp932", "utf-8"), ("gbk", "utf-8"), ("euc_jp", "utf-8"), ("big5", "utf-8"),
     ("cp1252", "cp932"), ("latin-1", "cp932"), ("mac_roman", "cp932"), ("cp1251", "cp932"), ("koi8_r", "cp932"), ("gbk", "cp932"), ("euc_jp", "cp932"), ("utf-8", "cp932"),
+    ("cp1252", "utf-8|cp1252|utf-8"), ("cp1252", "utf-8|latin-1|utf-8"), ("latin-1", "utf-8|cp1252|utf-8"), ("latin-1", "utf-8|latin-1|utf-8"),
     ("cp1252", "euc_jp"), ("latin-1", "euc_jp"), ("mac_roman", "euc_jp"), ("cp1251", "euc_jp"), ("koi8_r", "euc_jp"), ("cp932", "euc_jp"), ("gbk", "euc_jp"), ("utf-8", "euc_jp"),
 )
 #: Those of which the reverse is no damage: text read rightly has no such reading.
@@ -49,9 +51,14 @@ WORD_SHARE, CHAR_SHARE = 2e-5, 1e-6
 #: A value is safe when all its characters occur in the reference list, or in words with at least this
 #: share that have no likelier reading.
 SAFE_SHARE = 3e-4
-#: How much likelier (in nats) the restored reading must be, and what a word with an unsafe character
-#: loses when the text is read as it stands: one repeated in its garbled form is no evidence for it.
-MARGIN, UNSAFE_WORD = 4.0, 6.0
+#: How much likelier (in nats) the restored reading must be besides what each span read from bytes costs,
+#: and what a word with an unsafe character loses when the text is read as it stands: one repeated in its
+#: garbled form is no evidence for it.
+MARGIN, SWITCH, UNSAFE_WORD = 2.0, 2.0, 6.0
+#: What a character loses beside a word, so that words are preferred.
+CHAR = math.log(0.05)
+#: Characters this near to an odd one may belong to its damage, as bytes may look plain.
+BESIDE = 2
 FLOOR = math.log(1e-9)
 HALF_WIDTH = re.compile("[\uff66-\uff9f]+")
 TOKEN_SPLIT = r"[、,，､;；/／|｜・･\t\n\r+\-()（）「」\"\s]+|及び|並びに"
@@ -105,63 +112,91 @@ def other_codes(shown: str) -> dict[str, bytes]:
     return out
 
 
-def codings(part: list[bytes | None], span: str, shown: str) -> Iterator[list[bytes | None]]:
-    """The span's bytes, with the other codes of its characters as further paths of the lattice."""
-    more = [i for i, ch in enumerate(span) if ch in other_codes(shown)][:4]
-    for pick in range(2 ** len(more)):
-        path = list(part)
-        for k, i in enumerate(more):
-            if pick >> k & 1:
-                path[i] = other_codes(shown)[span[i]]
-        yield path
+@lru_cache(200_000)
+def codes(ch: str, shown: str) -> tuple[bytes, ...]:
+    """All bytes a character may have been shown from; none if the code page lacks it."""
+    first = to_bytes(ch, shown)
+    second = other_codes(shown).get(ch)
+    return () if first is None else (first,) if second is None else (first, second)
+
+
+@lru_cache(8)
+def single_bytes(shown: str) -> list[str]:
+    """The characters that a single-byte code page shows for each byte."""
+    own = {b[0]: ch for ch, b in byte_table(shown).items()}
+    return [bytes([x]).decode(shown, "ignore") or own[x] for x in range(256)]
+
+
+def encode(text: str, enc: str) -> bytes | None:
+    """The bytes of a text; for ``a|b|a`` those of its garbled form.  None where it has none."""
+    first, *more = enc.split("|")
+    try:
+        raw = text.encode(first)
+        for read, again in zip(more[::2], more[1::2]):
+            raw = "".join(map(single_bytes(read).__getitem__, raw)).encode(again)
+    except UnicodeError:
+        return None
+    return raw
 
 
 @dataclass
 class Model:
-    """Log probabilities of words and characters, and tries of their bytes."""
+    """Log probabilities of words and characters, and tries and tables of their bytes."""
 
     words: dict[str, float]
     chars: dict[str, float]
     safe: frozenset[str]
-    longest: int = 12
     tries: dict[str, dict] = field(default_factory=dict)
-    sizes: dict[str, dict] = field(default_factory=dict)
+    tables: dict[str, Table] = field(default_factory=dict)
     kept: dict[str, float] = field(default_factory=dict)
+    longest: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for w in self.words:  # the length of the longest word that begins with a character
+            self.longest[w[0]] = max(len(w), self.longest.get(w[0], 0))
+
+    def entries(self, enc: str) -> Iterator[tuple[float, str, bytes]]:
+        """(log probability, text, bytes) of what a damaged span may be read as: words and characters in
+        their ordinary form."""
+        chars = {c: FLOOR for c in self.safe if c not in self.chars} | {c: lp + CHAR for c, lp in self.chars.items()}
+        for source in (self.words, chars):
+            for text, lp in source.items():
+                raw = encode(text, enc)
+                if raw and fold(text) == text:
+                    yield lp, text, raw
+
+    def ready(self) -> Model:
+        """With all tries and tables built, so that words taken out later stay readings."""
+        for enc in dict.fromkeys(p[1] for p in PAIRS):
+            self.trie(enc), self.table(enc)
+        return self
 
     def trie(self, enc: str) -> dict:
         """Bytes -> ... -> {None: (text, log probability)}."""
         if enc not in self.tries:
             root: dict = {}
-            for source, extra in ((self.words, 0.0), (self.chars, math.log(0.05))):
-                for text, lp in source.items():
-                    try:
-                        raw = text.encode(enc)
-                    except UnicodeEncodeError:
-                        continue
-                    node = root
-                    for b in raw:
-                        node = node.setdefault(b, {})
-                    if None not in node or node[None][1] < lp + extra:
-                        node[None] = (text, lp + extra)
+            for lp, text, raw in self.entries(enc):
+                node = root
+                for b in raw:
+                    node = node.setdefault(b, {})
+                if None not in node or node[None][1] < lp:
+                    node[None] = (text, lp)
             self.tries[enc] = root
         return self.tries[enc]
 
-    def by_size(self, enc: str) -> dict[int, tuple[np.ndarray, list[str], list[float]]]:
-        """Words and characters by their number of bytes, likeliest first."""
-        if enc not in self.sizes:
-            groups: dict[int, list[tuple[float, str, bytes]]] = {}
-            for source, extra in ((self.words, 0.0), (self.chars, math.log(0.05))):
-                for text, lp in source.items():
-                    try:
-                        raw = text.encode(enc)
-                    except UnicodeEncodeError:
-                        continue
-                    groups.setdefault(len(raw), []).append((lp + extra, text, raw))
-            self.sizes[enc] = {}
-            for size, rows in groups.items():
-                rows.sort(reverse=True)
-                self.sizes[enc][size] = (np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, size), [r[1] for r in rows], [r[0] for r in rows])
-        return self.sizes[enc]
+    def table(self, enc: str) -> Table:
+        if enc not in self.tables:
+            self.tables[enc] = Table(sorted(self.entries(enc), reverse=True))
+        return self.tables[enc]
+
+    def pieces(self, text: str, i: int) -> Iterator[tuple[int, float]]:
+        """(end, log probability) of the words and the character at i, read as they stand."""
+        lp = self.chars.get(text[i])
+        yield i + 1, CHAR + lp if lp is not None else FLOOR
+        for j in range(i + 1, min(len(text), i + self.longest.get(text[i], 0)) + 1):
+            lp = self.words.get(text[i:j])
+            if lp is not None:
+                yield j, lp if self.safe.issuperset(text[i:j]) else lp - UNSAFE_WORD
 
     def score(self, text: str) -> float:
         """The log probability of the likeliest cut of a text into words and characters."""
@@ -169,96 +204,208 @@ class Model:
             return self.kept[text]
         best = [0.0] + [-math.inf] * len(text)
         for i in range(len(text)):
-            if best[i] == -math.inf:
-                continue
-            lp = self.chars.get(text[i])
-            at = best[i] + (math.log(0.05) + lp if lp is not None else FLOOR)
-            best[i + 1] = max(best[i + 1], at)
-            for j in range(i + 1, min(len(text), i + self.longest) + 1):
-                lp = self.words.get(text[i:j])
-                if lp is not None:
-                    if not self.safe.issuperset(text[i:j]):
-                        lp -= UNSAFE_WORD
-                    if best[i] + lp > best[j]:
-                        best[j] = best[i] + lp
+            for j, lp in self.pieces(text, i):
+                if best[i] + lp > best[j]:
+                    best[j] = best[i] + lp
         if len(self.kept) < 50_000:
             self.kept[text] = best[-1]
         return best[-1]
 
 
-def lattice(chars: list[bytes | None]) -> list[int | None]:
-    """The bytes of a span, with None for each lost one."""
-    return [b for raw in chars for b in (raw if raw is not None else (None,))]
-
-
-def viterbi(path: list[int | None], model: Model, enc: str) -> tuple[float, str] | None:
-    """The likeliest text whose bytes fit the lattice.  With a single lost byte, a walk through the
-    trie, in which the wildcard stands for one byte or two (decoders may show one mark for both);
-    with more, the words of each length are compared with the known bytes all at once."""
-    n = len(path)
-    best: list[tuple[float, str] | None] = [None] * (n + 1)
-    best[0] = (0.0, "")
-    many = sum(b is None for b in path) > 1
+#: Code pages in which a mark may stand for two bytes: the first and the second.
+ANY = range(0x80, 0x100)
+DOUBLES = {"utf-8": (range(0xE0, 0xF5), range(0x80, 0xC0)), "cp932": (ANY, range(256)), "gbk": (ANY, range(256)), "euc_jp": (ANY, range(256)), "big5": (ANY, range(256))}
+DOUBLE = 4.0
+#: The bits of a search's state: so many units of the lattice lie ahead of where a word begins.
+AHEAD = 62
+
+
+class Table:
+    """Words and characters as rows of bytes, likeliest first, for lattices with lost bytes: all rows are
+    followed through the lattice at once, as sets of the units where each may stand.  (Words of more than
+    AHEAD bytes are read in parts there.)"""
+
+    def __init__(self, entries: list[tuple[float, str, bytes]]) -> None:
+        entries = [e for e in entries if len(e[2]) <= AHEAD]
+        self.lps, self.texts = [e[0] for e in entries], [e[1] for e in entries]
+        self.size = np.array([len(e[2]) for e in entries], np.int64)
+        width = int(self.size.max()) if len(entries) else 1
+        self.raw = np.zeros((len(entries), width), np.uint8)
+        for k, (_, _, raw) in enumerate(entries):
+            self.raw[k, : len(raw)] = np.frombuffer(raw, np.uint8)
+        self.by_first = [np.flatnonzero(self.raw[:, 0] == b) for b in range(256)]
+        self.kept: dict[tuple, list[tuple[int, float, str]]] = {}
+
+    def follow(self, ahead: tuple[Any, ...], shown: str) -> list[tuple[int, float, str]]:
+        """(units taken, log probability, text): the likeliest row for each number of units.  A unit is the
+        set of the bytes it may be, or None for a mark, which stands for a byte that is no ASCII or for two:
+        in UTF-8 for the beginning of a longer character, in other code pages of two bytes for any (a word
+        for which that is needed loses DOUBLE)."""
+        first, second = DOUBLES.get(shown, (range(0), range(0)))
+        key = (ahead, first)
+        if key not in self.kept:
+            found = self.search(ahead, first, second)
+            if first == ANY:
+                once = self.search(ahead, range(0), range(0))
+                rated = {k: max([(self.lps[r] - DOUBLE, r), *([(self.lps[once[k]], once[k])] if k in once else [])]) for k, r in found.items()}
+                hits = [(k, lp, self.texts[r]) for k, (lp, r) in rated.items()]
+            else:
+                hits = [(k, self.lps[r], self.texts[r]) for k, r in found.items()]
+            if len(self.kept) >= 20_000:
+                self.kept.clear()
+            self.kept[key] = sorted(hits)
+        return self.kept[key]
+
+    def search(self, ahead: tuple[Any, ...], first: range, second: range) -> dict[int, int]:
+        """Units taken -> the likeliest row that takes them."""
+        known = np.zeros(256, np.uint64)
+        marks = np.uint64(0)
+        for k, unit in enumerate(ahead):
+            if unit is None:
+                marks |= np.uint64(1 << k)
+            else:
+                known[list(unit)] |= np.uint64(1 << k)
+        of = lambda these: np.where(np.isin(np.arange(256), list(these)), marks, np.uint64(0))
+        high, begins, ends_it = of(range(0x80, 0x100)), of(first), of(second)
+        rows = np.concatenate([self.by_first[b] for b in range(256) if int(known[b] | high[b] | begins[b]) & 1] or [np.zeros(0, np.int64)])
+        rows.sort()
+        at, half = np.full(len(rows), 1, np.uint64), np.zeros(len(rows), np.uint64)
+        best: dict[int, int] = {}
+        for t in range(self.raw.shape[1]):
+            if not len(rows):
+                break
+            b = self.raw[rows, t]
+            at, half = ((at & (known[b] | high[b])) | (half & ends_it[b])) << np.uint64(1), at & begins[b]
+            ends = self.size[rows] == t + 1
+            for row, state in zip(rows[ends].tolist(), at[ends].tolist()):
+                while state:
+                    k = (state & -state).bit_length() - 1
+                    state &= state - 1
+                    if k not in best or row < best[k]:
+                        best[k] = row
+            go = ~ends & ((at | half) > 0)
+            rows, at, half = rows[go], at[go], half[go]
+        return best
+
+
+def zone(value: str, model: Model) -> list[bool]:
+    """Which characters may be part of a damaged span."""
+    odd = [ch not in model.safe for ch in value]
+    return [any(odd[max(0, i - BESIDE) : i + BESIDE + 1]) for i in range(len(value))]
 
-    def offer(k: int, lp: float, text: str) -> None:
-        if best[k] is None or lp > best[k][0]:
-            best[k] = (lp, text)
 
-    for i in range(n):
-        if best[i] is None:
+@dataclass
+class Lattice:
+    """The units (sets of bytes, None for a mark) of the characters in the zone; ``first``: character ->
+    its first unit; ``char``: unit -> the character that begins there; ``stop``: unit -> where the span of
+    units it is in ends; ``tail``: a unit that may be missing at the end."""
+
+    units: list[frozenset[int] | None]
+    first: dict[int, int]
+    char: dict[int, int]
+    stop: list[int]
+    tail: bool
+    paired: bool = False
+
+
+def lattice(value: str, inside: list[bool], shown: str, tail: bool) -> Lattice:
+    """Characters of the zone that the code page lacks end a span of units."""
+    units: list[frozenset[int] | None] = []
+    first, char, spans = {}, {}, []
+    begin, paired = 0, False
+    for i, ch in enumerate(value + "\0"):
+        own = codes(ch, shown) if i < len(value) and inside[i] and ch != LOST else ()
+        if i < len(value) and inside[i] and (own or ch == LOST):
+            first[i], char[len(units)] = len(units), i
+            paired |= len(own) > 1
+            units += [None] if ch == LOST else [frozenset(bs) for bs in zip(*own)]
             continue
-        base, text = best[i]
-        if many:
-            for size, (raw, words, lps) in model.by_size(enc).items():
-                if i + size > n:
-                    continue
-                rows = None
-                for k in range(size):
-                    if path[i + k] is not None:
-                        rows = np.flatnonzero(raw[:, k] == path[i + k]) if rows is None else rows[raw[rows, k] == path[i + k]]
-                        if not len(rows):
-                            break
-                if rows is None:
-                    offer(i + size, base + lps[0], text + words[0])
-                elif len(rows):
-                    offer(i + size, base + lps[rows[0]], text + words[rows[0]])  # in order of frequency
+        if len(units) > begin:
+            if i == len(value) and tail:
+                units.append(None)
+            char[len(units)] = i
+            spans += [len(units)] * (len(units) + 1 - begin)
+            units.append(frozenset())  # between two spans
+            begin = len(units)
+    return Lattice(units, first, char, spans, tail, paired)
+
+
+def viterbi(value: str, inside: list[bool], model: Model, shown: str, enc: str) -> tuple[float, str, list[tuple[str, str]]] | None:
+    """(log probability, text, damaged spans as (shown, restored)) of the likeliest path through the
+    lattice of a value; None if none reads a span from its bytes."""
+    lat = lattice(value, inside, shown, sure(value) and LOST not in value)
+    root = model.trie(enc)
+    n, n_units = len(value), len(lat.units)
+    # (log probability, previous state, text); a state is a character boundary or a unit within a span
+    plain: list[tuple[float, Any, str] | None] = [None] * (n + 1)
+    inner: list[tuple[float, Any, str] | None] = [None] * (n_units + 1)
+    plain[0] = (0.0, None, "")
+    for i in range(n + 1):
+        if plain[i] is not None and i < n:
+            base = plain[i][0]
+            for j, lp in model.pieces(value, i):
+                if plain[j] is None or base + lp > plain[j][0]:
+                    plain[j] = (base + lp, ("c", i), value[i:j])
+        if i not in lat.first:
             continue
-        todo = [(model.trie(enc), i)]
-        while todo:
-            node, k = todo.pop()
-            if None in node:
-                offer(k, base + node[None][1], text + node[None][0])
-            if k == n:
+        # the units from this character up to the next one
+        stop = lat.stop[lat.first[i]]
+        last = lat.first.get(i + 1, stop)
+        for u in range(lat.first[i], last):
+            state, came = inner[u], ("u", u)
+            if u == lat.first[i] and plain[i] is not None and (state is None or plain[i][0] - SWITCH > state[0]):
+                state, came = (plain[i][0] - SWITCH, None, ""), ("c", i)
+            if state is None:
                 continue
-            b = path[k]
-            if b is None:
-                for c, child in node.items():
-                    if c is not None:
-                        todo.append((child, k + 1))
-                        todo += [(grand, k + 1) for d, grand in child.items() if d is not None]
-            elif b in node:
-                todo.append((node[b], k + 1))
-    return best[n]
-
-
-def strict(raw: bytes, enc: str) -> str | None:
-    """The plain way: None unless the bytes decode."""
-    try:
-        return raw.decode(enc)
-    except UnicodeDecodeError:
+            node, v = root, u
+            hits: list[tuple[int, float, str]] = []
+            while v < stop:
+                unit = lat.units[v]
+                if unit is None or len(unit) > 1:
+                    hits = [(u + k, lp, text) for k, lp, text in model.table(enc).follow(tuple(lat.units[u : min(stop, u + AHEAD)]), shown)]
+                    break
+                (b,) = unit
+                node = node.get(b)
+                if node is None:
+                    break
+                v += 1
+                if None in node:
+                    hits.append((v, node[None][1], node[None][0]))
+            for v, lp, text in hits:
+                if inner[v] is None or state[0] + lp > inner[v][0]:
+                    inner[v] = (state[0] + lp, came, text)
+                if lat.tail and v == stop - 1 and lat.char[stop] == n:
+                    if inner[stop] is None or state[0] + lp > inner[stop][0]:
+                        inner[stop] = (state[0] + lp, came, text)
+        end = lat.char.get(last)
+        if end is not None and inner[last] is not None and (plain[end] is None or inner[last][0] > plain[end][0]):
+            plain[end] = (inner[last][0], ("u", last), "")
+    if plain[n] is None:
         return None
+    pieces: list[str] = []
+    spans: list[tuple[str, str]] = []
+    state, read, to = ("c", n), "", n
+    while state is not None:
+        kind, k = state
+        lp, back, text = plain[k] if kind == "c" else inner[k]
+        pieces.append(text)
+        if kind == "c" and back is not None and back[0] == "u":
+            read, to = "", k
+        if kind == "u":
+            read = text + read
+            if back[0] == "c":
+                spans.append((value[back[1] : to], read))
+        state = back
+    spans = spans[::-1]
+    if not spans or (lat.paired and not all(again(text, enc, shown) == was for was, text in spans)):
+        return None
+    return plain[n][0], "".join(reversed(pieces)), spans
 
 
-def spans(value: str, model: Model) -> Iterator[tuple[int, int]]:
-    """Candidate damaged spans: from the first to the last unsafe character, and up to two more
-    characters on either side, as bytes of plain characters may belong to the damage."""
-    odd = [i for i, ch in enumerate(value) if ch not in model.safe]
-    if odd:
-        for left in range(3):
-            for right in range(3):
-                a, b = odd[0] - left, odd[-1] + 1 + right
-                if a >= 0 and b <= len(value):
-                    yield a, b
+def again(text: str, enc: str, shown: str) -> str | None:
+    """The text as the wrong decoding shows it."""
+    raw = encode(text, enc)
+    return raw.decode(shown, "replace") if raw is not None else None
 
 
 def sure(value: str) -> bool:
@@ -281,49 +428,33 @@ def foreign_run(value: str, model: Model) -> bool:
     return False
 
 
+def likely(value: str, inside: list[bool], model: Model, shown: str) -> bool:
+    """Without lost bytes, UTF-8 can be told at once: bytes of another text rarely make its characters."""
+    raw = b"".join(to_bytes(ch, shown) or b"" for ch, z in zip(value, inside) if z)
+    read = raw.decode("utf-8", "ignore")
+    return any(ch in model.chars or ch in model.safe for ch in read if not ch.isascii())
+
+
 def read_one(value: str, model: Model, pairs: tuple[tuple[str, str], ...] = PAIRS) -> tuple[float, str, str] | None:
     """(gain, restored, way) of the best reading that is likelier than the value by MARGIN."""
+    odd = [ch for ch in value if ch not in model.safe and ch != LOST]
+    lost = LOST in value
+    if not odd and not lost:
+        return None
     best: tuple[float, str, str] | None = None
     whole = model.score(fold(value))
-    cuts = list(spans(value, model))
-    if not cuts:
-        return None
-    first, last = min(a for a, _ in cuts), max(b for _, b in cuts)
-    odd = [ch for ch in value[first:last] if ch not in model.safe and ch != LOST]
-    for shown in dict.fromkeys(p[0] for p in pairs):
-        # lost marks among plain ASCII only are what a failed reading as UTF-8 leaves
-        if (not odd and shown != "utf-8") or any(to_bytes(ch, shown) is None for ch in odd):
+    inside = zone(value, model)
+    able: dict[str, bool] = {}
+    for shown, enc in pairs:
+        if shown not in able:
+            # lost marks among plain characters only are what a failed reading as UTF-8 leaves
+            able[shown] = (bool(odd) or shown == "utf-8") and any(to_bytes(ch, shown) is not None for ch in odd or "a")
+            able[f"{shown} utf-8"] = able[shown] and (lost or sure(value) or likely(value, inside, model, shown))
+        if not able.get(f"{shown} {enc}", able[shown]):
             continue
-        table = [None if ch == LOST else to_bytes(ch, shown) for ch in value[first:last]]
-        for a, b in cuts:
-            part, span = table[a - first : b - first], value[a:b]
-            if any(raw is None and ch != LOST for raw, ch in zip(part, span)):
-                continue
-            lost = LOST in span
-            for part, enc in product(codings(part, span, shown), [p[1] for p in pairs if p[0] == shown]):
-                readings: list[tuple[str, str]] = []
-                once = None if lost else strict(b"".join(part), enc)
-                if once is not None:
-                    readings.append((once, f"{enc} as {shown}"))
-                    if enc == "utf-8" and shown in ("cp1252", "latin-1") and not once.isascii():
-                        for again in ("cp1252", "latin-1"):
-                            raw = [to_bytes(ch, again) for ch in once]
-                            twice = None if None in raw else strict(b"".join(raw), enc)
-                            if twice is not None:
-                                readings.append((twice, f"{enc} as {shown}, twice"))
-                elif lost or sure(span):
-                    path = lattice(part)
-                    for p in (path,) if lost else (path, [*path, None]):
-                        got = viterbi(p, model, enc)
-                        if got:
-                            readings.append((got[1], f"{enc} as {shown}"))
-                for text, way in readings:
-                    if text == span or not all(c in model.chars or c in model.safe for c in text) or fold(text) != text:
-                        continue
-                    restored = value[:a] + text + value[b:]
-                    gain = model.score(restored) - whole
-                    if gain > MARGIN and (best is None or gain > best[0]):
-                        best = (gain, restored, way)
+        got = viterbi(value, inside, model, shown, enc)
+        if got and got[0] - whole > MARGIN and (best is None or got[0] - whole > best[0]) and got[1] != value:
+            best = (got[0] - whole, got[1], f"{enc} as {shown}")
     return best
 
 
@@ -399,7 +530,7 @@ def repeated_garble(texts: list[str], frequent: dict[str, int], known: list[str]
     kinds = Counter(ch for w in counts for ch in set(w))
     chars = {c: math.log(n / kinds.total()) for c, n in kinds.items()}
     words = {w: math.log(n / counts.total()) for w, n in counts.items() if n > 0}
-    strict_model, model = Model({w: lp for w, lp in words.items() if base.issuperset(w)}, chars, base), Model(words, chars, base)
+    strict_model, model = Model({w: lp for w, lp in words.items() if base.issuperset(w)}, chars, base), Model(words, chars, base).ready()
     out = []
     for t in suspects:
         own = {w: words.pop(w) for w in {t, *re.split(TOKEN_SPLIT, t, flags=re.ASCII)} if w in words}
@@ -412,9 +543,8 @@ def repeated_garble(texts: list[str], frequent: dict[str, int], known: list[str]
 
 def damaged(fields: DataFrame, known: list[str]) -> DataFrame:
     """(record_id, field_name, value) -> (value, restored, way, gain): the distinct damaged values."""
-    values = distinct_values(fields)
-    model = fit(values, known)
-    return judged(values, model)
+    values = cut(distinct_values(fields))
+    return judged(values, fit(values, known))
 
 
 def judged(values: DataFrame, model: Model) -> DataFrame:
@@ -436,9 +566,10 @@ def judged(values: DataFrame, model: Model) -> DataFrame:
 
 
 def restore(fields: DataFrame, known: list[str]) -> DataFrame:
-    """(record_id, field_name, value, restored, way, gain) of the records with a damaged value."""
-    model = fit(distinct_values(fields), known)
+    """(record_id, field_name, value, restored, way, gain) of the records with a damaged value.  The distinct
+    values are written once; the fields are read again only for the join."""
+    values = cut(distinct_values(fields))
+    model = fit(values, known)
     safe = "".join(sorted(model.safe))
     odd = fields.where(nonblank("value") & (F.length(F.translate("value", safe, "")) > 0)).select("record_id", "field_name", "value").distinct()
-    bad = judged(odd.select("value").distinct(), model)
-    return odd.join(bad, "value").select("record_id", "field_name", "value", "restored", "way", "gain")
+    return odd.join(judged(values, model), "value").select("record_id", "field_name", "value", "restored", "way", "gain")

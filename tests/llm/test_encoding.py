@@ -53,3 +53,32 @@ def test_a_garbled_value_of_kanji_in_a_third_of_the_rows(spark):
 
 def test_a_frequent_plain_value_outside_the_reference_list_is_left_alone(spark):
     assert E.restore(corpus(spark, ["蘭狸蟹礫"] * 1500 + ["鑿岩"] * 700), WORDS[:3]).count() == 0
+
+
+def read(value, words, plain=""):
+    """The best reading of a value under a model in which all words are as frequent."""
+    lp = -6.0
+    model = E.Model({w: lp for w in words}, {c: lp for w in words for c in w}, frozenset(E.plain_chars()) | set(plain))
+    return (E.read_one(value, model) or (0, None, None))[1]
+
+
+def test_marks_for_two_bytes_each_and_for_one():
+    shown = garble("砂岩頁岩互層", "utf-8", "gbk")
+    bad = "�" + shown[1:5] + "�" + shown[6:]  # each mark stands for two bytes
+    assert read(bad, ["砂岩頁岩互層", "泥岩砂岩互層", "頁岩"]) == "砂岩頁岩互層"
+    for word in ("前期中新世", "片麻岩", "ホルンフェルス"):
+        assert read(garble(word, "cp932", "utf-8"), ["前期中新世", "片麻岩", "ホルンフェルス", "粘土"]) == word
+
+
+def test_many_characters_with_a_second_code():
+    # the bytes EE F9 are a kanji in one code page and a sign with another first code in the other
+    assert bytes([0xEE, 0xF9]).decode("cp932") == "￢" and "￢".encode("cp932") != bytes([0xEE, 0xF9]) and len(E.other_codes("cp932")) >= 10
+    text = "銷砂銷岩銷泥銷土銷層銷"
+    assert read(garble(text, "euc_jp", "cp932"), [*text]) == text
+
+
+def test_long_words_and_two_spans():
+    long = "後期更新世段丘堆積物砂岩頁岩互層ローム"
+    assert read(garble(long, "utf-8", "cp1252"), [long, "粘土"]) == long
+    bad = garble("粘土", "utf-8", "cp1251") + "と片麻岩と" + garble("火山灰", "utf-8", "cp1251")
+    assert read(bad, ["粘土", "片麻岩", "火山灰", "と"], "片麻岩") == "粘土と片麻岩と火山灰"
