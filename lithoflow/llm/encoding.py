@@ -234,6 +234,7 @@ class Table:
         for k, (_, _, raw) in enumerate(entries):
             self.raw[k, : len(raw)] = np.frombuffer(raw, np.uint8)
         self.by_first = [np.flatnonzero(self.raw[:, 0] == b) for b in range(256)]
+        self.high = np.flatnonzero(self.raw[:, 0] >= 0x80)
         self.kept: dict[tuple, list[tuple[int, float, str]]] = {}
 
     def follow(self, ahead: tuple[Any, ...], shown: str) -> list[tuple[int, float, str]]:
@@ -246,7 +247,7 @@ class Table:
         if key not in self.kept:
             found = self.search(ahead, first, second)
             if first == ANY:
-                once = self.search(ahead, range(0), range(0))
+                once = self.search(ahead, range(0), range(0)) if found else {}
                 rated = {k: max([(self.lps[r] - DOUBLE, r), *([(self.lps[once[k]], once[k])] if k in once else [])]) for k, r in found.items()}
                 hits = [(k, lp, self.texts[r]) for k, (lp, r) in rated.items()]
             else:
@@ -265,24 +266,28 @@ class Table:
                 marks |= np.uint64(1 << k)
             else:
                 known[list(unit)] |= np.uint64(1 << k)
-        of = lambda these: np.where(np.isin(np.arange(256), list(these)), marks, np.uint64(0))
-        high, begins, ends_it = of(range(0x80, 0x100)), of(first), of(second)
-        rows = np.concatenate([self.by_first[b] for b in range(256) if int(known[b] | high[b] | begins[b]) & 1] or [np.zeros(0, np.int64)])
-        rows.sort()
+        high, begins, ends_it = np.zeros((3, 256), np.uint64)
+        high[0x80:], begins[first.start : first.stop], ends_it[second.start : second.stop] = marks, marks, marks
+        takes = known | high
+        rows = self.high if ahead[0] is None else np.sort(np.concatenate([self.by_first[b] for b in ahead[0]])) if ahead[0] else self.high[:0]
         at, half = np.full(len(rows), 1, np.uint64), np.zeros(len(rows), np.uint64)
         best: dict[int, int] = {}
         for t in range(self.raw.shape[1]):
             if not len(rows):
                 break
             b = self.raw[rows, t]
-            at, half = ((at & (known[b] | high[b])) | (half & ends_it[b])) << np.uint64(1), at & begins[b]
+            at, half = ((at & takes[b]) | (half & ends_it[b])) << np.uint64(1), at & begins[b]
             ends = self.size[rows] == t + 1
-            for row, state in zip(rows[ends].tolist(), at[ends].tolist()):
-                while state:
-                    k = (state & -state).bit_length() - 1
-                    state &= state - 1
-                    if k not in best or row < best[k]:
-                        best[k] = row
+            done = np.flatnonzero(ends)
+            if len(done):  # in order of likelihood, so only rows that end where none before them did count
+                so_far = np.bitwise_or.accumulate(at[done])
+                for j in np.flatnonzero(so_far[1:] != so_far[:-1]).tolist() + [-1]:
+                    row, state = int(rows[done[j + 1]]), int(so_far[j + 1]) & ~(int(so_far[j]) if j >= 0 else 0)
+                    while state:
+                        k = (state & -state).bit_length() - 1
+                        state &= state - 1
+                        if k not in best or row < best[k]:
+                            best[k] = row
             go = ~ends & ((at | half) > 0)
             rows, at, half = rows[go], at[go], half[go]
         return best
@@ -330,9 +335,11 @@ def lattice(value: str, inside: list[bool], shown: str, tail: bool) -> Lattice:
     return Lattice(units, first, char, spans, tail, paired)
 
 
-def viterbi(value: str, inside: list[bool], model: Model, shown: str, enc: str) -> tuple[float, str, list[tuple[str, str]]] | None:
+def viterbi(value: str, inside: list[bool], model: Model, shown: str, enc: str, stand: list[list[tuple[int, float]]] | None = None) -> tuple[float, str, list[tuple[str, str]]] | None:
     """(log probability, text, damaged spans as (shown, restored)) of the likeliest path through the
-    lattice of a value; None if none reads a span from its bytes."""
+    lattice of a value; None if none reads a span from its bytes.  ``stand``: the value's pieces as they
+    stand, if known."""
+    stand = [list(model.pieces(value, i)) for i in range(len(value))] if stand is None else stand
     lat = lattice(value, inside, shown, sure(value) and LOST not in value)
     root = model.trie(enc)
     n, n_units = len(value), len(lat.units)
@@ -343,7 +350,7 @@ def viterbi(value: str, inside: list[bool], model: Model, shown: str, enc: str)
     for i in range(n + 1):
         if plain[i] is not None and i < n:
             base = plain[i][0]
-            for j, lp in model.pieces(value, i):
+            for j, lp in stand[i]:
                 if plain[j] is None or base + lp > plain[j][0]:
                     plain[j] = (base + lp, ("c", i), value[i:j])
         if i not in lat.first:
@@ -444,6 +451,7 @@ def read_one(value: str, model: Model, pairs: tuple[tuple[str, str], ...] = PAIR
     best: tuple[float, str, str] | None = None
     whole = model.score(fold(value))
     inside = zone(value, model)
+    stand = [list(model.pieces(value, i)) for i in range(len(value))]
     able: dict[str, bool] = {}
     for shown, enc in pairs:
         if shown not in able:
@@ -452,7 +460,7 @@ def read_one(value: str, model: Model, pairs: tuple[tuple[str, str], ...] = PAIR
             able[f"{shown} utf-8"] = able[shown] and (lost or sure(value) or likely(value, inside, model, shown))
         if not able.get(f"{shown} {enc}", able[shown]):
             continue
-        got = viterbi(value, inside, model, shown, enc)
+        got = viterbi(value, inside, model, shown, enc, stand)
         if got and got[0] - whole > MARGIN and (best is None or got[0] - whole > best[0]) and got[1] != value:
             best = (got[0] - whole, got[1], f"{enc} as {shown}")
     return best
