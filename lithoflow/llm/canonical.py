@@ -1,48 +1,42 @@
 """Freely typed values mapped to the entries of a canonical list.
 
-Token-level repair.  Values and entries are cut into tokens: an entry's own name and its kind (``層群``,
-``Terrace Deposits``), in each of its scripts.  Every distinct token is joined to the reference
-vocabulary by edit distance, as an equi-join on the strings with at most one character deleted; the
-corrected tokens are combined by soft TF-IDF to rank the complete entries.  Candidates come from the
-rare tokens only, so a kind that hundreds of entries share never fans out.
-
-Words that only qualify an entry are left out on the way.  Work is done once per distinct value.
-The vocabulary is broadcast when the list has at most ``BROADCAST_ENTRIES`` entries and joined by a
-shuffle otherwise.
+Token-level repair.  Entries are written in several forms (Japanese, kana, English, English without
+blanks); a form is its name tokens and its kind, an ending that entries share (``層群``, ``Terrace
+Deposits``).  Values are cut into readings of the same make.  Every distinct token is joined to the reference
+vocabulary by edit distance, as an equi-join on the strings with at most one character deleted.  The
+corrected tokens of a reading are summed by soft TF-IDF against every complete form that they may stand
+for: ``sum(sim * idf^2)`` over the form's tokens and the kind, divided by the lengths of both vectors.
+
+A form is looked up by its rarest token only, so a kind or a word that hundreds of entries share never
+fans out; the others are compared within the row.  Words that only qualify an entry are left out on the
+way; they come from a table (``data/qualifiers.csv``).  Work is done once per distinct value.  The list
+stays a table: what is collected of it is the kinds, which at least two entries share.
 
 Defined results: null and blank values have no row; a value that is letter for letter a label has
-none either; one that fits no entry is reported as ``NONE``; ties go to the smaller entry id.
+none either; one that fits no entry is reported as ``NONE``; ties go to the smaller entry id.  Entries
+without an id or without labels are never found.
 """
 
 from __future__ import annotations
 
-import math
+import csv
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithoflow.llm.folding import BLANKS, KANA_KANJI, fold
+from lithoflow.session import cut, spread
 
-BROADCAST_ENTRIES = 50_000
-#: The least soft TF-IDF of an accepted entry.
-ACCEPT = 0.62
-#: The shortest token that may hold an error: kanji, kana, Latin letters.
-FUZZY_FROM = {"kanji": 3, "kana": 4, "latin": 3}
-
-#: Words that qualify an entry without changing it (weathering, grain, colour, portion,
-#: member, naming), and other spellings of a kind.
-QUALIFIERS = (
-    "強風化", "弱風化", "風化した", "風化", "未風化", "新鮮な", "細粒", "中粒", "粗粒", "極細粒", "極粗粒", "細粒の", "粗粒の", "塊状の", "塊状", "層状", "亀裂質", "亀裂", "破砕", "固結した", "未固結", "半固結", "軟質", "硬質",
-    "暗灰色", "灰色", "灰白色", "白色", "黒色", "褐色", "赤褐色", "青灰色", "緑色", "赤色", "黄褐色", "淡", "暗",
-    "主体", "優勢", "一部", "薄層", "厚層", "互層状", "混じり", "質", "下部", "中部", "上部", "最下部", "最上部", "基底部", "相当", "相当層", "旧", "いわゆる", "新称", "仮称", "通称", "俗称", "旧称",
-)
-KIND_VARIANTS = {"累層": "層", "ソウグン": "ソウグン", "ルイソウ": "ソウ"}
+#: The least soft TF-IDF of an accepted entry, and the weight of a kind that is not the entry's.
+ACCEPT, OTHER_KIND = 0.62, 2.0
+#: The shortest token that may hold an error: kanji, kana, Latin letters; the shortest kind.
+FUZZY_FROM, FUZZY_KIND = {"kanji": 3, "kana": 4, "latin": 3}, 3
 QUOTES = re.compile(r"""^["'「『【〔]+|["'」』】〕]+$""")
 BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 INNER = re.compile(r"[、,;/|・\t\n+]")
@@ -51,117 +45,16 @@ PAIRS = str.maketrans({ch: kana for kana, others in KANA_KANJI.items() for ch in
 
 
 def key_form(text: str) -> str:
-    """The form in which tokens are compared: folded, lower case, kana as katakana, look-alikes as one."""
+    """The form in which tokens are compared: folded, lower case, kana as katakana."""
     t = fold(text).strip().lower()
-    t = "".join(chr(ord(ch) + 0x60) if "ぁ" <= ch <= "ゖ" else ch for ch in t)
-    return t
+    return "".join(chr(ord(ch) + 0x60) if "ぁ" <= ch <= "ゖ" else ch for ch in t)
 
 
 def skeleton(text: str) -> str:
+    """Look-alikes of kana and kanji as one."""
     return text.translate(PAIRS)
 
 
-def common_suffix(xs: list[str]) -> str:
-    n = 0
-    while all(len(x) > n + 1 for x in xs) and len({x[-1 - n] for x in xs}) == 1:
-        n += 1
-    return xs[0][len(xs[0]) - n :] if n else ""
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """tokens: (token, entry, weight); norms: entry -> length of its token vector; kinds: written kind
-    -> kind; weights of kinds; labels: the entries' own labels, letter for letter."""
-
-    tokens: tuple[tuple[str, str, float], ...]
-    norms: dict[str, float]
-    kind_of: dict[str, str]
-    kinds: dict[str, str]
-    kind_weight: dict[str, float]
-
-
-def vocabulary(rows: list[tuple[str, str, str | None, str | None, str | None]]) -> Vocabulary:
-    """From (ref_id, term_kind, label_ja, label_kana, label_en): kinds are the words after the first
-    of the English label, and the suffix that all Japanese labels of that kind share."""
-    groups: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
-    entries: list[tuple[str, str, list[str]]] = []
-    for ref, kind, ja, kana, en in rows:
-        ja, kana, en = (key_form(x or "") for x in (ja, kana, en))
-        word = en.split(" ", 1)[1] if kind == "unit_name" and " " in en else ""
-        if word:
-            groups[word].append((ref, ja, kana))
-        entries.append((ref, word, [ja, kana, en]))
-    kinds: dict[str, str] = {}
-    ends: dict[str, tuple[str, str]] = {}
-    for word, members in groups.items():
-        ends[word] = (common_suffix([m[1] for m in members]), common_suffix([m[2] for m in members])) if len(members) > 1 else ("", "")
-        for e in (*ends[word], word):
-            if e:
-                kinds[skeleton(e)] = word
-    for other, plain in KIND_VARIANTS.items():
-        if skeleton(plain) in kinds:
-            kinds[skeleton(other)] = kinds[skeleton(plain)]
-    n = len(entries) or 1
-    kind_count = Counter(word for _, word, _ in entries)
-    kind_weight = {w: math.log(1 + n / c) for w, c in kind_count.items() if w}
-    stems: dict[str, list[str]] = {}
-    for ref, word, (ja, kana, en) in entries:
-        a, b = ends.get(word, ("", ""))
-        own = [ja.removesuffix(a) if word else ja, kana.removesuffix(b) if word else kana, *(en.split(" ")[:1] if word else en.split(" "))]
-        stems[ref] = [skeleton(x) for x in dict.fromkeys(own) if x]
-    df = Counter(t for ts in stems.values() for t in set(ts))
-    tokens, norms = [], {}
-    for ref, word, (_, _, en) in entries:
-        latin = [t for t in stems[ref] if t.isascii()]
-        for t in stems[ref]:
-            tokens.append((t, ref, math.log(1 + n / df[t])))
-        tail = kind_weight.get(word, 0.0) ** 2
-        norms[ref] = math.sqrt(math.log(1 + n) ** 2 + tail)
-        if len(latin) > 1:
-            norms[ref] = math.sqrt(max(norms[ref] ** 2, sum(math.log(1 + n / df[t]) ** 2 for t in latin) + tail))
-    return Vocabulary(tuple(tokens), norms, {ref: word for ref, word, _ in entries}, kinds, kind_weight)
-
-
-def tokens_of(item: str, voc: Vocabulary) -> list[tuple[str, str]]:
-    """(token, kind) readings of an item; several when it may be cut in more than one way."""
-    t = key_form(item)
-    whole = [t]
-    if any(ch in item for ch in BLANKS):  # an odd blank may be one too many
-        whole.append(key_form("".join(ch for ch in item if ch not in BLANKS)))
-    t = QUOTES.sub("", t)
-    bare = BRACKETS.sub("", t).strip()
-    bare = re.split(r"[(\[「『\"]", bare)[0].strip() or bare
-    parts = [p.strip() for p in INNER.split(bare) if p.strip()]
-    kept = [p for p in parts if p not in QUALIFIER_FORMS]
-    whole += [bare, "".join(parts), *kept]
-    out: dict[tuple[str, str], None] = {}
-    for w in dict.fromkeys(x for x in whole if x):
-        spaced = re.sub(r"\s+", " ", w)
-        if CJK.search(w):
-            words = [x for x in spaced.split(" ") if x not in QUALIFIER_FORMS]
-            for form in dict.fromkeys(("".join(words), strip_qualifiers("".join(words)))):
-                form = skeleton(form)
-                if form:
-                    out[(form, "")] = None
-                for n in range(1, len(form)):
-                    kind = voc.kinds.get(form[n:])
-                    if kind:
-                        for stem in dict.fromkeys((form[:n], form[:n].removesuffix("ノ"))):
-                            out[(stem, kind)] = None
-                        break
-        else:
-            words = spaced.split(" ")
-            joined = " ".join(words)
-            out[(joined, "")] = None
-            for k in range(len(words)):
-                tail = " ".join(words[k:])
-                kind = voc.kinds.get(tail) or next((v for e, v in voc.kinds.items() if len(tail) > 3 and e.isascii() and within_one(tail, e)), None)
-                if kind and k:
-                    out[("".join(words[:k]), kind)] = None
-                    break
-    return list(out)
-
-
 def within_one(a: str, b: str) -> bool:
     """One insertion, deletion, substitution or swap of neighbours, at most."""
     if a == b:
@@ -178,26 +71,157 @@ def within_one(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-QUALIFIER_FORMS = {key_form(q) for q in QUALIFIERS}
-_ORDERED = sorted(QUALIFIER_FORMS, key=len, reverse=True)
-
+def data_rows(name: str) -> list[dict[str, str]]:
+    with resources.files("lithoflow.llm").joinpath("data", name).open(encoding="utf-8") as f:
+        return list(csv.DictReader(f))
 
-def strip_qualifiers(t: str) -> str:
-    again = True
-    while again:
-        again = False
-        for q in _ORDERED:
-            if t.startswith(q) and len(t) > len(q):
-                t, again = t[len(q) :].removeprefix("ノ"), True
-                break
-            if t.endswith(q) and len(t) > len(q):
-                t, again = t[: -len(q)], True
-                break
-    return t
 
-
-def script(token: str) -> str:
-    return "latin" if token.isascii() else "kana" if re.fullmatch(r"[ァ-ヿ]+", token) else "kanji"
+@dataclass(frozen=True)
+class Cutter:
+    """How labels and values are cut: ``endings``: written ending -> kind; ``by_kind``: kind -> its endings;
+    ``qualifiers``: words left out, longest first."""
+
+    endings: dict[str, str]
+    by_kind: dict[str, tuple[str, ...]]
+    qualifiers: tuple[str, ...]
+
+    def strip(self, t: str) -> str:
+        """Without qualifiers at either end."""
+        again = True
+        while again:
+            again = False
+            for q in self.qualifiers:
+                if t.startswith(q) and len(t) > len(q):
+                    t, again = t[len(q) :].removeprefix("ノ"), True
+                    break
+                if t.endswith(q) and len(t) > len(q):
+                    t, again = t[: -len(q)], True
+                    break
+        return t
+
+    def split_kind(self, form: str) -> tuple[int, str] | None:
+        """(length of the name, kind): the longest ending that is one, else one with a single error."""
+        for n in range(1, len(form)):
+            if form[n:] in self.endings:
+                return n, self.endings[form[n:]]
+        if len(form) > FUZZY_KIND:
+            for e, kind in self.endings.items():
+                if len(e) >= FUZZY_KIND and e.isascii() == form.isascii():
+                    for n in (len(form) - len(e), len(form) - len(e) - 1, len(form) - len(e) + 1):
+                        if 0 < n < len(form) and (" " not in form or form[n - 1] == " ") and within_one(form[n:], e):
+                            return n, kind
+        return None
+
+    def readings(self, item: str) -> list[tuple[tuple[str, ...], str]]:
+        """(name tokens, kind or ''); several where an item may be cut in more than one way."""
+        t = key_form(item)
+        whole = [t]
+        if any(ch in item for ch in BLANKS):  # an odd blank may be one too many
+            whole.append(key_form("".join(ch for ch in item if ch not in BLANKS)))
+        t = QUOTES.sub("", t)
+        bare = BRACKETS.sub("", t).strip()
+        bare = re.split(r"[(\[「『\"]", bare)[0].strip() or bare
+        parts = [p.strip() for p in INNER.split(bare) if p.strip()]
+        whole += [bare, "".join(parts), *[p for p in parts if p not in self.qualifiers]]
+        out: dict[tuple[tuple[str, ...], str], None] = {}
+        for w in dict.fromkeys(x for x in whole if x):
+            words = w.split()
+            if CJK.search(w):
+                plain = "".join(x for x in words if x not in self.qualifiers)
+                for form in dict.fromkeys(map(skeleton, (plain, self.strip(plain)))):
+                    if form:
+                        out[((form,), "")] = None
+                        got = self.split_kind(form)
+                        for stem in dict.fromkeys((form[: got[0]], form[: got[0]].removesuffix("ノ"))) if got else ():
+                            out[((stem,), got[1])] = None
+            elif words:
+                words = [x for x in words if x not in self.qualifiers] or words
+                out[(tuple(words), "")] = None
+                out[(("".join(words),), "")] = None
+                got = self.split_kind(" ".join(words))
+                if got:
+                    name = " ".join(words)[: got[0]].split()
+                    out[(("".join(name),), got[1])] = None
+                    out[(tuple(name), got[1])] = None
+        return [(name, kind) for name, kind in out if name and all(name)]
+
+    def forms(self, kind: str, ja: str, kana: str, en: str) -> list[tuple[tuple[str, ...], str]]:
+        """(name tokens, kind) of an entry in its scripts; the labels are key forms, ``kind`` the words after
+        the first of the English label where these are a kind."""
+        out: dict[tuple[tuple[str, ...], str], None] = {}
+        for label in (ja, kana):
+            own = next((e for e in self.by_kind.get(kind, ()) if not e.isascii() and label.endswith(e) and len(label) > len(e)), "")
+            if label:
+                out[((skeleton(label.removesuffix(own)),), kind)] = None
+        if en:
+            words = en.split()[:1] if kind else en.split()
+            out[(tuple(words), kind)] = None
+            out[(("".join(words),), kind)] = None
+        return list(out)
+
+
+def keyed(entries: DataFrame) -> DataFrame:
+    """(ref_id, kind, ja, kana, en): the key forms of the labels; ``kind``: the words after the first of a
+    unit's English label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for ref, term_kind, *labels in b.itertuples(index=False):
+                ja, kana, en = (key_form(x) if x else "" for x in labels)
+                rows.append((ref, " ".join(en.split()[1:]) if term_kind == "unit_name" else "", ja, kana, " ".join(en.split())))
+            yield pd.DataFrame(rows, columns=["ref_id", "kind", "ja", "kana", "en"])
+
+    own = entries.where("ref_id is not null").select("ref_id", "term_kind", "label_ja", "label_kana", "label_en").distinct()
+    return own.mapInPandas(run, "ref_id string, kind string, ja string, kana string, en string")
+
+
+def cutter(entries: DataFrame, qualifiers: list[str] | None = None) -> Cutter:
+    """From keyed entries.  A kind's endings are its English words and the suffix that all labels of the kind
+    share in each script: the common beginning of the least and the greatest label read backwards."""
+    words = [r["word"] for r in data_rows("qualifiers.csv")] if qualifiers is None else qualifiers
+    ends = lambda c: [f(F.when(F.col(c) != "", F.reverse(c))).alias(f"{c}{k}") for k, f in enumerate((F.min, F.max))] + [F.min(F.length(c)).alias(f"{c}n")]
+    shared = entries.where("kind <> ''").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *ends("ja"), *ends("kana")).where("n > 1").collect()
+    endings: dict[str, str] = {}
+    by_kind: dict[str, tuple[str, ...]] = {}
+    for r in sorted(shared, key=lambda r: r["kind"]):
+        own = []
+        for c in ("ja", "kana"):
+            a, b = r[f"{c}0"] or "", r[f"{c}1"] or ""
+            n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            n = min(n, (r[f"{c}n"] or 1) - 1)
+            if n:
+                own.append(a[:n][::-1])
+        by_kind[r["kind"]] = (*own, r["kind"])
+        endings |= {skeleton(e): r["kind"] for e in by_kind[r["kind"]]}
+    for r in data_rows("endings.csv"):
+        if skeleton(r["stands_for"]) in endings:
+            endings[skeleton(r["ending"])] = endings[skeleton(r["stands_for"])]
+    return Cutter(endings, by_kind, tuple(sorted({key_form(q) for q in words}, key=lambda q: (-len(q), q))))
+
+
+def vocabulary(entries: DataFrame, cut_by: Cutter) -> DataFrame:
+    """(ref_id, kind, kind_weight, tokens: array of (term, idf), lead, norm): a row per form, with its rarest
+    token as ``lead`` and the length of its vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for ref, kind, ja, kana, en in b.itertuples(index=False):
+                kind = kind if kind in cut_by.by_kind else ""
+                whole = [((en.replace(" ", ""),), "")] if kind == "" and " " in en else []
+                rows += [(ref, k, list(t)) for t, k in dict.fromkeys([*cut_by.forms(kind, ja, kana, en), *whole]) if all(t)]
+            yield pd.DataFrame(rows, columns=["ref_id", "kind", "terms"])
+
+    forms = cut(entries.mapInPandas(run, "ref_id string, kind string, terms array<string>"))
+    n = forms.select("ref_id").distinct().count() or 1
+    weight = lambda c: F.log(1 + F.lit(float(n)) / F.col(c))
+    idf = forms.select("ref_id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", weight("df").alias("idf"))
+    kinds = forms.where("kind <> ''").select("ref_id", "kind").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("df")).select("kind", weight("df").alias("kind_weight"))
+    rows = forms.withColumn("form", F.concat_ws(" ", "ref_id", "kind", F.to_json("terms"))).select("form", "ref_id", "kind", F.explode("terms").alias("term")).join(idf, "term")
+    rows = rows.groupBy("form", "ref_id", "kind").agg(F.collect_list(F.struct("idf", "term")).alias("tokens")).join(kinds, "kind", "left").na.fill({"kind_weight": 0.0})
+    square = F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x["idf"] * x["idf"]) + F.col("kind_weight") * F.col("kind_weight")
+    return cut(rows.select("ref_id", "kind", "kind_weight", "tokens", F.array_max("tokens")["term"].alias("lead"), F.sqrt(square).alias("norm"), F.lit(float(n)).alias("n_entries")))
 
 
 def deletions(c: str) -> F.Column:
@@ -227,37 +251,38 @@ def corrected(tokens: DataFrame, voc: DataFrame) -> DataFrame:
     return near.select("token", "term", (1 - F.col("edits") / F.greatest(F.length("token"), F.length("term"))).alias("sim"))
 
 
-def match(items: DataFrame, spark: SparkSession, rows: list) -> DataFrame:
-    """(item), distinct -> (item, ref_id): the best entry of each, or ``NONE``."""
-    voc = vocabulary(rows)
-    # multi-word labels of plain terms are also one token, so that a lost or added blank does no harm
-    words = defaultdict(set)
-    for token, ref, _ in voc.tokens:
-        words[token].add(ref)
-    for ref, kind, _, _, en in rows:
-        if en and kind != "unit_name":
-            words[key_form(en)].add(ref)
-            words[key_form(en).replace(" ", "")].add(ref)
-    n = len(voc.norms) or 1
-    terms = [(t, ref, voc.kind_of[ref], math.log(1 + n / len(refs)), voc.kind_weight.get(voc.kind_of[ref], 0.0)) for t, refs in words.items() for ref in refs]
-    small = len(rows) <= BROADCAST_ENTRIES
-    hint = F.broadcast if small else (lambda x: x)
-    vdf = spark.createDataFrame(terms or [("", "", "", 0.0, 0.0)], "term string, ref_id string, ref_kind string, idf double, kind_weight double").where("term <> ''")
+def sim_to(near: Column, term: Column) -> Column:
+    """The best similarity of a reading's tokens to a term; null where none is near."""
+    return F.array_max(F.transform(F.filter(near, lambda x: x["term"] == term), lambda x: x["sim"]))
+
+
+def match(items: DataFrame, entries: DataFrame, qualifiers: list[str] | None = None) -> DataFrame:
+    """(item), distinct -> (item, ref_id): the best entry of each, or ``NONE``.  ``entries``: (ref_id,
+    term_kind, label_ja, label_kana, label_en)."""
+    own = cut(keyed(entries))
+    by = cutter(own, qualifiers)
+    forms = vocabulary(own, by)
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(x, t, k) for x in b["item"] for t, k in tokens_of(x, voc)]
-            yield pd.DataFrame(out, columns=["item", "token", "kind"])
-
-    parts = items.mapInPandas(cut_up, "item string, token string, kind string")
-    near = corrected(parts.select("token").distinct(), hint(vdf.select("term").distinct()))
-    ranked = parts.join(near, "token").join(hint(vdf), "term")
-    same = F.col("kind") == F.col("ref_kind")
-    kind_item = F.when(F.col("kind") == "", 0.0).otherwise(F.when(same, F.col("kind_weight")).otherwise(2.0))
-    up = F.col("sim") * F.pow("idf", F.lit(2.0)) + F.when(same, F.pow("kind_weight", F.lit(2.0))).otherwise(0.0)
-    down = F.sqrt(F.pow("idf", F.lit(2.0)) + F.pow(kind_item, F.lit(2.0))) * F.sqrt(F.pow("idf", F.lit(2.0)) + F.pow("kind_weight", F.lit(2.0)))
-    scored = ranked.withColumn("score", up / down).where((F.col("score") >= ACCEPT) & (same | (F.col("sim") == 1)))
-    # the best score, then a reading with a kind, then the longest token, then the smaller id
-    order = F.struct((-F.round("score", 9)).alias("score"), (F.col("kind") == "").alias("no_kind"), (-F.length("token")).alias("n"), F.col("ref_id"))
+            out = [(x, k, kind, list(name)) for x in b["item"] for k, (name, kind) in enumerate(by.readings(x))]
+            yield pd.DataFrame(out, columns=["item", "reading", "kind", "name"])
+
+    readings = cut(spread(items, "item").mapInPandas(cut_up, "item string, reading int, kind string, name array<string>"))
+    tokens = readings.select("item", "reading", "kind", F.size("name").alias("n_name"), F.length(F.concat_ws("", "name")).alias("size"), F.explode("name").alias("token"))
+    near = corrected(tokens.select("token").distinct(), forms.select(F.explode("tokens").alias("t")).select(F.col("t.term").alias("term")).distinct())
+    held = tokens.join(near, "token").groupBy("item", "reading", "kind", "n_name", "size").agg(F.collect_list(F.struct("term", "sim")).alias("near"))
+    found = held.withColumn("lead", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"])))).join(forms.withColumnRenamed("kind", "own_kind"), "lead")
+    sims = F.transform("tokens", lambda t: F.struct(t["idf"].alias("idf"), sim_to(F.col("near"), t["term"]).alias("sim")))
+    found = found.withColumn("sims", sims).where(F.forall("sims", lambda x: x["sim"].isNotNull()))
+    same = F.col("kind") == F.col("own_kind")
+    total = lambda f: F.aggregate("sims", F.lit(0.0), lambda a, x: a + f(x))
+    kind_item = F.when(F.col("kind") == "", 0.0).otherwise(F.when(same, F.col("kind_weight")).otherwise(OTHER_KIND))
+    unmatched = F.greatest(F.lit(0), F.col("n_name") - F.size("tokens")) * F.pow(F.log(1 + F.col("n_entries")), F.lit(2.0))
+    up = total(lambda x: x["sim"] * x["idf"] * x["idf"]) + F.when(same, F.pow("kind_weight", F.lit(2.0))).otherwise(0.0)
+    down = F.sqrt(total(lambda x: x["idf"] * x["idf"]) + unmatched + F.pow(kind_item, F.lit(2.0))) * F.col("norm")
+    scored = found.withColumn("score", up / down).where((F.col("score") >= ACCEPT) & (same | F.forall("sims", lambda x: x["sim"] == 1)))
+    # the best score, then a reading with a kind, then the longest name, then the smaller id
+    order = F.struct((-F.round("score", 9)).alias("score"), (F.col("kind") == "").alias("no_kind"), (-F.col("size")).alias("n"), F.col("ref_id"))
     first = scored.groupBy("item").agg(F.min(order)["ref_id"].alias("ref_id"))
     return items.join(first, "item", "left").select("item", F.coalesce("ref_id", F.lit("NONE")).alias("ref_id"))

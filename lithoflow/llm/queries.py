@@ -52,18 +52,18 @@ def p4_matched(spark: SparkSession, d: str) -> DataFrame:
     names = geology_fields(spark, d, "raw_unit_name_ja", "raw_lithology")
     keywords = long_fields(table(spark, d, "l1_geology_terms"), "term_id", "match_keywords_ja")
     fields = names.unionByName(keywords).where(nonblank("value"))
-    rows = [tuple(r) for r in table(spark, d, "reference_terms").select("ref_id", "term_kind", "label_ja", "label_kana", "label_en").distinct().collect()]
-    values = cut(lookalike.clean_values(fields, [x for r in rows for x in r[2:] if x]).select("value"))
-    labels = sorted({r[2] for r in rows if r[2]})
+    entries = table(spark, d, "reference_terms")
+    labels = entries.select(F.col("label_ja").alias("item")).where("item is not null").distinct()
     plain = r"^ +| +$"
+    trimmed = F.regexp_replace("value", plain, "")
+    # most values are labels as they stand and go nowhere
+    fields = fields.distinct().withColumn("item", trimmed).join(labels, "item", "left_anti").drop("item").withColumn("split", F.col("field_name") != "raw_unit_name_ja")
+    values = lookalike.clean_values(names.unionByName(keywords), known_words(spark, d)).select("value", trimmed.alias("item")).join(labels, "item", "left_anti")
     packed_items = packed.split_values(F.col("value"), F.lit(False), plain)
-    whole = F.array(F.regexp_replace("value", plain, ""))
-    per_value = values.select("value", F.explode(F.array(F.struct(F.lit(True).alias("split"), packed_items.alias("items")), F.struct(F.lit(False).alias("split"), whole.alias("items")))).alias("x"))
-    per_value = per_value.select("value", "x.split", F.posexplode("x.items").alias("p", "item")).where(~F.col("item").isin(labels))
-    found = canonical.match(per_value.select("item").distinct(), spark, rows)
+    per_value = values.select("value", F.explode(F.array(F.struct(F.lit(True).alias("split"), packed_items.alias("items")), F.struct(F.lit(False).alias("split"), F.array("item").alias("items")))).alias("x"))
+    per_value = cut(per_value.select("value", "x.split", F.posexplode("x.items").alias("p", "item")).join(labels, "item", "left_anti"))
+    found = canonical.match(per_value.select("item").distinct(), entries)
     per_value = per_value.join(found, "item").select("value", "split", (F.col("p") + 1).cast("int").alias("pos"), "item", "ref_id")
-    # most values are labels as they stand and go nowhere
-    fields = fields.where(~F.regexp_replace("value", plain, "").isin(labels)).distinct().withColumn("split", F.col("field_name") != "raw_unit_name_ja")
     return fields.join(per_value, ["value", "split"]).select("record_id", "field_name", "pos", "item", "ref_id")
 
 

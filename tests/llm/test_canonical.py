@@ -13,10 +13,14 @@ CASES = {
 }
 
 
+def entries(spark, rows=REF):
+    return spark.createDataFrame(rows, "ref_id string, term_kind string, label_ja string, label_kana string, label_en string")
+
+
 def test_cases(spark):
     cases = {k: v for k, v in CASES.items() if k != "砂岩・頁岩互層"}  # unquoted, it is two values
     items = spark.createDataFrame([(k,) for k in cases], "item string")
-    got = {r.item: r.ref_id for r in C.match(items, spark, REF).collect()}
+    got = {r.item: r.ref_id for r in C.match(items, entries(spark)).collect()}
     assert got == cases
 
 
@@ -29,12 +33,21 @@ def test_every_single_error_in_a_long_label_is_repaired(spark):
                 stem, k = en.split()[0], rnd.randrange(1, 8)
                 for typo in (stem[:k] + stem[k + 1 :], stem[:k] + "q" + stem[k:], stem[:k] + "q" + stem[k + 1 :], stem[:k] + stem[k + 1] + stem[k] + stem[k + 2 :]):
                     want[f"{typo} {en.split()[1]}"] = ref
-    got = {r.item: r.ref_id for r in C.match(spark.createDataFrame([(k,) for k in want], "item string"), spark, REF).collect()}
+    got = {r.item: r.ref_id for r in C.match(spark.createDataFrame([(k,) for k in want], "item string"), entries(spark)).collect()}
+    assert got == want
+
+
+def test_tokens_are_summed_over_complete_entries(spark):
+    more = [("L7", "lithology", "腐植土", "フショクド", "humus soil"), ("L8", "lithology", "火山灰", "カザンバイ", "volcanic ash"), ("L9", "lithology", "マサ土", "マサド", "decomposed granite soil"), *REF, REF[0], (None, "lithology", "鉄", "テツ", "iron"), ("X1", "lithology", None, None, None)]
+    want = {"sandstoen shale alternatoin": "L2", "sandstone shalealternation": "L2", "alternation shale sandstone": "L2", "soil": "NONE", "ash": "NONE", "shale": "NONE", "humus soil": "L7", "decomposde granite soli": "L9", "decomposed granite": "NONE", "iron": "NONE"}
+    terrace = [(f"T{k}", "unit_name", f"{s}段丘堆積物", f"{y}ダンキュウタイセキブツ", f"{e} Terrace Deposits") for k, (s, y, e) in enumerate(STEMS[:3])]
+    want |= {"波寺沢岩段丘堆積": "T0", "波寺沢岩段丘推積物": "T0", "ササタニアメトヨダンキユウタイセキブツ": "T1", "Kuwanamiizumifuji Terace Deposits": "T2", "Kuwanamizumifuji Terrace Deposts": "T2"}
+    got = {r.item: r.ref_id for r in C.match(spark.createDataFrame([(k,) for k in want], "item string"), entries(spark, more + terrace)).collect()}
     assert got == want
 
 
 def test_empty_list_and_no_items(spark):
     none = spark.createDataFrame([], "item string")
-    assert C.match(none, spark, REF).count() == 0
-    assert [r.ref_id for r in C.match(spark.createDataFrame([("砂",)], "item string"), spark, []).collect()] == ["NONE"]
+    assert C.match(none, entries(spark)).count() == 0
+    assert [r.ref_id for r in C.match(spark.createDataFrame([("砂",)], "item string"), entries(spark, [])).collect()] == ["NONE"]
     assert C.within_one("abc", "acb") and C.within_one("abc", "ab") and not C.within_one("abc", "bcd")
