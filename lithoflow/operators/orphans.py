@@ -93,15 +93,6 @@ def direct_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataF
     )
 
 
-def found(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> DataFrame:
-    """The direct orphans of all foreign keys, each once: (table_name, record_id, ref_value, reason)."""
-    out = None
-    for fk in keys:
-        part = direct_orphans(tables[fk.child], tables[fk.parent.name], fk).drop("at")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
-
-
 def cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> DataFrame:
     """The fixpoint: (table_name, record_id, ref_value, reason, kind, depth, at).
 
@@ -109,25 +100,25 @@ def cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> Data
     reason ``orphaned target``; semi-joins go down the foreign-key graph from what the last round
     added until a round adds nothing; it ends for cycles too, since each record is entered in one round
     only.  The rows of each round are written to the shared folder, so
-    the plan does not grow with the depth.
+    the plan does not grow with the depth.  Where no table is both parent and child, there is nothing to
+    inherit and no round.
     """
     done = None
     for fk in keys:
         part = direct_orphans(tables[fk.child], tables[fk.parent.name], fk)
         done = part if done is None else done.unionByName(part)
-    done = cut(done.distinct().withColumns({"kind": F.lit("direct"), "depth": F.lit(0)}))
-    last = done
+    done = done.distinct().withColumns({"kind": F.lit("direct"), "depth": F.lit(0)})
     parents = {fk.parent.name for fk in keys}
+    down = [fk for fk in keys if fk.parent.name in {k.child for k in keys}]
+    if not down:
+        return done
+    done = last = cut(done)
     for depth in count(1):
         new = None
-        for fk in keys:
-            if fk.parent.name not in {k.child for k in keys}:
-                continue
+        for fk in down:
             lost = last.where(F.col("table_name") == fk.parent.name).select(norm_key("record_id").alias("ref_value")).distinct()
             part = references(tables[fk.child], fk).join(lost, "ref_value", "left_semi").select(F.lit(fk.child).alias("table_name"), "record_id", "ref_value", F.lit("orphaned target").alias("reason"), "at")
             new = part if new is None else new.unionByName(part)
-        if new is None:
-            break
         known = done.select("table_name", "record_id").distinct()
         new = cut(new.distinct().join(known, ["table_name", "record_id"], "left_anti").withColumns({"kind": F.lit("inherited"), "depth": F.lit(depth)}))
         if new.where(F.col("table_name").isin(*parents)).isEmpty():
@@ -137,6 +128,11 @@ def cascade(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> Data
     return done
 
 
+def found(tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> DataFrame:
+    """The direct orphans of the cascade, each once: (table_name, record_id, ref_value, reason)."""
+    return cascade(tables, keys).where("kind = 'direct'").select("table_name", "record_id", "ref_value", "reason").distinct()
+
+
 def report(orphans: DataFrame) -> DataFrame:
     """Counts per table, month of the record's own time, kind and reason; a null time is month ''."""
     return orphans.groupBy("table_name", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")).alias("period"), "kind", "reason").agg(

@@ -19,22 +19,31 @@ KEYS = (
 )
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    names = {k.child for k in KEYS} | {k.parent.name for k in KEYS}
-    return orphans.found({n: table(spark, d, n) for n in names}, KEYS)
-
-
-def p5_orphan_report(spark: SparkSession, d: str) -> DataFrame:
-    """The cascade over a deeper graph: cards also refer to L1 terms (in their chain), and the terms
-    to knowledge sources, so that a lost source reaches the features through terms and cards."""
+#: The cascade's graph: cards also refer to L1 terms (in their chain), and the terms to knowledge
+#: sources, so that a lost source reaches the features through terms and cards.
+def deeper_keys() -> tuple[orphans.ForeignKey, ...]:
     refs = F.regexp_extract_all(F.col("chain"), F.lit(r'"knowledge_ref\\*": \\*"terms :: (T\d+)'), F.lit(1))
-    more = (
+    return (
+        *KEYS,
         orphans.ForeignKey("inference_chains", "geology_unit_card_id", "chain", TERMS, "built_at", many=refs),
         orphans.ForeignKey("l1_geology_terms", "term_id", "source_ref", SOURCES),
     )
-    keys = KEYS + more
-    names = {k.child for k in keys} | {k.parent.name for k in keys}
-    return orphans.report(orphans.cascade({n: table(spark, d, n) for n in names}, keys))
+
+
+def orphan_tables(spark: SparkSession, d: str, keys: tuple[orphans.ForeignKey, ...]) -> dict[str, DataFrame]:
+    return {n: table(spark, d, n) for n in {k.child for k in keys} | {k.parent.name for k in keys}}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade over the whole graph, cut to the three references that are cases."""
+    keys = deeper_keys()
+    rows = orphans.found(orphan_tables(spark, d, keys), keys)
+    return rows.where(F.col("table_name").isin(*[k.child for k in KEYS]))
+
+
+def p5_orphan_report(spark: SparkSession, d: str) -> DataFrame:
+    keys = deeper_keys()
+    return orphans.report(orphans.cascade(orphan_tables(spark, d, keys), keys))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
