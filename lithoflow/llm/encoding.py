@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -555,13 +556,24 @@ def damaged(fields: DataFrame, known: list[str]) -> DataFrame:
     return judged(values, fit(values, known))
 
 
+_SHARED: dict[str, Model] = {}
+
+
+def shared(key: str, words: dict[str, float], chars: dict[str, float], safe: frozenset[str]) -> Model:
+    """The model of a worker process, whose tries serve all its tasks; only the last one is kept."""
+    if key not in _SHARED:
+        _SHARED.clear()
+        _SHARED[key] = Model(words, chars, safe)
+    return _SHARED[key]
+
+
 def judged(values: DataFrame, model: Model) -> DataFrame:
     safe = "".join(sorted(model.safe))
-    sent = {"words": model.words, "chars": model.chars, "safe": model.safe}
+    sent = (uuid.uuid4().hex, model.words, model.chars, model.safe)
     odd = spread(values.where(F.length(F.translate("value", safe, "")) > 0).select("value"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(**sent)
+        own = shared(*sent)
         for b in batches:
             rows: list[tuple[Any, ...]] = []
             for v in b["value"]:

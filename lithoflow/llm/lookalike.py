@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lithoflow.functions.text import nonblank
 from lithoflow.llm import encoding
 from lithoflow.llm.folding import KANA_KANJI, fixed_map, is_katakana
-from lithoflow.session import cut
+from lithoflow.session import cut, spread
 
 #: How many times more frequent a string must be than a look-alike string to stand for it.
 STRONGER = 4
@@ -152,7 +152,7 @@ def clean_values(fields: DataFrame, known: list[str]) -> DataFrame:
     """(value, n) of the distinct values that aren't garbled, written once to the shared folder."""
     values = cut(encoding.distinct_values(fields))
     bad = encoding.judged(values, encoding.fit(values, known))
-    return cut(values.join(bad.select("value"), "value", "left_anti"))
+    return cut(spread(values.join(bad.select("value"), "value", "left_anti"), "value"))
 
 
 def fit(values: DataFrame) -> Rewriter:
@@ -171,10 +171,24 @@ def fit(values: DataFrame) -> Rewriter:
                     seen[w] = seen.get(w, 0) + int(n)
             yield pd.DataFrame({"w": list(seen), "skeleton": [skeleton(w, pairs) for w in seen], "n": list(seen.values())}).astype({"w": str, "skeleton": str, "n": "int64"})
 
-    seen = values.mapInPandas(windows, "w string, skeleton string, n long").groupBy("skeleton", "w").agg(F.sum("n").alias("n"))
-    top = seen.groupBy("skeleton").agg(F.max_by("w", F.struct("n", "w")).alias("best"), F.max("n").alias("most"), F.count(F.lit(1)).alias("forms")).where("forms > 1")
-    weak = seen.join(top, "skeleton").where((F.col("w") != F.col("best")) & (F.col("n") * STRONGER <= F.col("most")))
-    return Rewriter(variants, {r[0]: r[1] for r in weak.select("w", "best").collect()})
+    seen = cut(values.mapInPandas(windows, "w string, skeleton string, n long").groupBy("skeleton", "w").agg(F.sum("n").alias("n")))
+    several = seen.groupBy("skeleton").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("skeleton")
+    counted = {r[1]: (r[0], r[2]) for r in seen.join(several, "skeleton").select("skeleton", "w", "n").collect()}
+    return Rewriter(variants, string_representatives(counted))
+
+
+def string_representatives(counted: dict[str, tuple[str, int]]) -> dict[str, str]:
+    """String -> the most frequent string of its class, where that is STRONGER times as frequent.  counted:
+    string -> (a string it looks like, its number); strings that look like the same one are one class."""
+    uf = UnionFind()
+    for w, (like, _) in counted.items():
+        uf.union(w, like)
+    out = {}
+    for members in uf.classes():
+        own = [w for w in members if w in counted]
+        best = max(own, key=lambda w: (counted[w][1], w))
+        out |= {w: best for w in own if w != best and counted[w][1] * STRONGER <= counted[best][1]}
+    return out
 
 
 def forms(values: DataFrame, rewriter: Rewriter) -> DataFrame:
