@@ -1,52 +1,35 @@
-"""Knowledge tables: readers for files, and the matching columns of the default tables."""
+"""Knowledge tables: readers for files, and the default tables.
+
+Every table can be replaced by a file of the same columns; what a step of the inference chain refers to is
+named after the file it came from.  CSV and YAML files are small and read whole, from any file system
+Spark knows; their order is kept as ``row_no``.
+
+Defined results: rows whose id begins with ``#`` are left out, short rows are filled with nulls, a byte
+order mark is skipped; a missing file is an error, a table that is not named is empty.
+"""
 
 from __future__ import annotations
 
-from pathlib import Path
+import csv
+import io
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from importlib import resources
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-L1_SCHEMA = "term_id string, priority int, match_on string, match_keywords_ja string, geological_material string, grain_or_rock string, row_no int"
-L2_SCHEMA = "map_id string, priority int, match_geological_material string, match_grain_or_rock string, engineering_material_family string, engineering_ground_type string"
-
-#: L1 terms (term; priority; field; keywords; material; grain), in file order.
-L1 = """
-L1_fill | 10 | name | 埋立;盛土;人工;埋立地;埋立土;改変;造成 | artificial | mixed
-L1_peat_swamp | 15 | name | 泥炭;湿地;低湿地;後背湿地;沼 | sediment_soil | fine_organic
-L1_alluvium | 20 | name | 沖積層;現河床;河床;氾濫原;谷底;自然堤防;砂州;三角州;扇状地;旧河道;崖錐;沖積錐 | sediment_soil | mixed_soil
-L1_kanto_loam | 25 | name | ローム;火山灰;関東ローム;スコリア;軽石;テフラ;黒ボク | sediment_soil | volcanic_ash
-L1_terrace | 30 | name | 段丘;段丘堆積物;段丘礫;砂礫層 | sediment_soil | terrace_gravel
-L1_kazusa_group | 35 | name | 柿生層;王禅寺層;飯室層;生田層;稲城層;高津層;鶴川層;出店層;上倉田層;上星川層;鶴見層;寺尾層 | sedimentary_rock | weak_rock
-L1_miura_group | 36 | name | 大船層;小柴層;野島層;浦郷層;深沢層;中里層;屏風ガ浦層;戸塚層;舞岡層;浜層;長沼層 | sedimentary_rock | weak_rock
-L1_shimanto_basement | 40 | name | ユニット;砂岩頁岩互層;千枚質頁岩;権現山;小仏 | sedimentary_rock | moderate_hard_rock
-L1_volcanic_pyroclastic | 45 | name | 凝灰岩;火砕;火山角礫岩;火山砕屑;凝灰質;溶結 | pyroclastic | pyroclastic_rock
-L1_hard_igneous | 50 | name | 花崗岩;閃緑岩;玄武岩;安山岩;斑れい岩;片麻岩;結晶片岩;チャート | igneous_metamorphic | hard_rock
-L1_fault | 5 | name | 断層;破砕;破砕帯;せん断帯 | structure | fault_zone
-L1_litho_mudstone | 60 | litho | 泥岩;頁岩;シルト岩 | sedimentary_rock | weak_rock
-L1_litho_sandstone | 62 | litho | 砂岩;砂質礫岩;含礫砂岩 | sedimentary_rock | weak_rock
-L1_litho_conglomerate | 63 | litho | 礫岩 | sedimentary_rock | weak_rock
-L1_litho_tuff | 64 | litho | 凝灰岩;凝灰質 | pyroclastic | pyroclastic_rock
-L1_litho_gravel | 66 | litho | 礫 | sediment_soil | coarse_soil
-L1_litho_sand | 67 | litho | 砂 | sediment_soil | coarse_soil
-L1_litho_mud_silt | 68 | litho | 泥;シルト;粘土 | sediment_soil | fine_soil
-L1_litho_ash | 69 | litho | 火山灰;スコリア;軽石 | sediment_soil | volcanic_ash
-"""
-#: L2 map (row; priority; material; grain; family; ground type), in file order.
-L2 = """
-L2_fill | 10 | artificial | * | artificial_ground | artificial_fill_reclaimed_ground
-L2_fault | 12 | structure | * | fault_fracture | fault_fracture_zone
-L2_organic | 15 | sediment_soil | fine_organic | soft_soil | young_unconsolidated_soil
-L2_ash | 20 | sediment_soil | volcanic_ash | volcanic_ash_soil | volcanic_ash_loam
-L2_soft_fine | 25 | sediment_soil | fine_soil | soft_soil | young_unconsolidated_soil
-L2_alluvium_mixed | 30 | sediment_soil | mixed_soil | alluvial_soil | alluvial_lowland_deposits
-L2_terrace | 35 | sediment_soil | terrace_gravel | terrace_soil | terrace_deposits
-L2_coarse_default | 40 | sediment_soil | coarse_soil | alluvial_soil | alluvial_lowland_deposits
-L2_weak_rock | 45 | sedimentary_rock | weak_rock | weak_rock | weak_sedimentary_rock
-L2_moderate_rock | 46 | sedimentary_rock | moderate_hard_rock | weak_rock | weak_sedimentary_rock
-L2_pyroclastic | 50 | pyroclastic | * | pyroclastic_ground | pyroclastic_tuffaceous_ground
-L2_hard_rock | 55 | igneous_metamorphic | * | hard_rock | hard_crystalline_rock
-"""
+L1_COLUMNS = ("term_id", "priority", "match_on", "match_keywords_ja", "geological_material", "primary_lithology_ja", "primary_lithology_en", "grain_or_rock", "depositional_environment_ja", "depositional_environment_en", "typical_consolidation", "formation_group_ja", "stratigraphic_note_en", "source_ref")
+#: What the eleven fields of a short row mean, where the table is to be repaired.
+L1_REPAIRED = (*L1_COLUMNS[:9], "stratigraphic_note_en", "source_ref")
+L2_COLUMNS = ("map_id", "priority", "match_geological_material", "match_grain_or_rock", "engineering_material_family", "engineering_ground_type", "geotech_term_ja", "geotech_term_en", "geotech_synonyms_ja", "rationale_en", "source_ref")
+PROPERTIES = "ground_type string, summary_en string, mechanical map<string,string>, chemical map<string,string>, key_concerns_en array<string>, design_use boolean, source_ref string"
+ADVICE = "ground_type string, applications map<string,string>, recommended_investigation array<string>, residual_uncertainty string"
+SOURCES = "source_id string, title string, url string, tier string"
+RISK = "ground_type string, flags array<string>"
+RULES = "rule_id string, priority int, row_no int, keywords array<string>, fields array<string>, engineering_material_family string, engineering_ground_type string, risk_flags array<string>, confidence string, reason string"
+
 #: Risk flags by ground type.
 RISK_FLAGS = {
     "artificial_fill_reclaimed_ground": ("variable_fill", "settlement_screening", "liquefaction_screening", "contamination_screening", "unknown_fill_thickness"),
@@ -62,42 +45,137 @@ RISK_FLAGS = {
 }
 
 
-def rows_of(text: str) -> list[list[str]]:
-    return [[x.strip() for x in line.split("|")] for line in text.strip().splitlines()]
+def read_whole(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0].removeprefix("\ufeff")
+
 
+def csv_table(spark: SparkSession, text: str, columns: Sequence[str], short: Sequence[str] = ()) -> DataFrame:
+    """The rows of a CSV text as strings, ``priority`` as a number, with their ``row_no``.  ``short``: the
+    columns of rows that have just so many fields."""
+    lines = [line for line in text.splitlines() if not line.startswith("#")]
+    rows = []
+    for cells in list(csv.reader(io.StringIO("\n".join(lines))))[1:]:
+        if not cells:
+            continue
+        row = dict(zip(short if short and len(cells) == len(short) else columns, cells))
+        rows.append((*[int(row[c]) if c == "priority" and row.get(c) else row.get(c) for c in columns], len(rows)))
+    return spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'priority' else 'string'}" for c in columns) + ", row_no int")
 
-def default_l1(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, int(p), on, kws, m, g, k) for k, (t, p, on, kws, m, g) in enumerate(rows_of(L1))], L1_SCHEMA)
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], short: Sequence[str] = ()) -> DataFrame:
+    return csv_table(spark, read_whole(spark, path), columns, short)
+
+
+def own_text(name: str) -> str:
+    return resources.files("lithoflow").joinpath("data", name).read_text("utf-8")
+
+
+def default_l1(spark: SparkSession, repaired: bool = False) -> DataFrame:
+    """The default terms.  Their rows are shorter than the header, so the last columns hold what stands
+    there (a source's id for the consolidation); ``repaired`` puts the fields where they belong."""
+    return csv_table(spark, own_text("l1_terms.csv"), L1_COLUMNS, L1_REPAIRED if repaired else ())
 
 
 def default_l2(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, int(p), m, g, fam, t) for i, p, m, g, fam, t in rows_of(L2)], L2_SCHEMA)
+    return csv_table(spark, own_text("l2_map.csv"), L2_COLUMNS)
 
 
 def risk_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, list(f)) for t, f in RISK_FLAGS.items()], "ground_type string, flags array<string>")
+    return spark.createDataFrame([(t, list(f)) for t, f in RISK_FLAGS.items()], RISK)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A knowledge table from CSV: explicit schema, header, ``#`` comments left out, short rows filled
-    with nulls, a byte order mark skipped."""
-    return spark.read.schema(schema).option("header", True).option("comment", "#").option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
+def read_yaml(spark: SparkSession, path: str) -> Any:
+    import yaml
 
+    return yaml.safe_load(read_whole(spark, path))
 
-def read_yaml(path: str | Path) -> Any:
-    import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
+def texts(v: Any) -> dict[str, str]:
+    """A mapping with its values as text."""
+    return {str(k): x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, default=str) for k, x in (v or {}).items()}
 
 
-def code_table(spark: SparkSession, doc: dict[str, Any], section: str) -> DataFrame:
-    """A mapping of codes from a document: (code, payload as JSON text)."""
-    import json
+def listed(v: Any) -> list[str]:
+    return [str(x) for x in ([v] if isinstance(v, str) else v or [])]
 
+
+def properties_table(spark: SparkSession, doc: Mapping[str, Any]) -> DataFrame:
+    rows = [(str(k), p.get("summary_en", ""), texts(p.get("mechanical")), texts(p.get("chemical")), listed(p.get("key_concerns_en")), bool(p.get("design_use", False)), ";".join(listed(p.get("source_ref")))) for k, p in (doc.get("ground_types") or {}).items()]
+    return spark.createDataFrame(rows, PROPERTIES)
+
+
+def advice_table(spark: SparkSession, doc: Mapping[str, Any]) -> DataFrame:
+    rows = [(str(k), texts(p.get("applications")), listed(p.get("recommended_investigation")), p.get("residual_uncertainty", "")) for k, p in (doc.get("ground_types") or {}).items()]
+    return spark.createDataFrame(rows, ADVICE)
+
+
+def sources_table(spark: SparkSession, doc: Mapping[str, Any]) -> DataFrame:
+    rows = [(str(k), s.get("title"), s.get("url", ""), s.get("tier")) for k, s in (doc.get("sources") or {}).items()]
+    return spark.createDataFrame(rows, SOURCES)
+
+
+def rules_table(spark: SparkSession, doc: Mapping[str, Any]) -> DataFrame:
+    """Keyword rules for ``rules.match_rules``, in file order."""
+    rows = [
+        (r["rule_id"], int(r.get("priority", 999)), k, listed(r.get("match_keywords_ja")) + listed(r.get("match_keywords_en")), listed(r.get("match_fields")), r.get("engineering_material_family"), r.get("engineering_ground_type"), listed(r.get("risk_flags")), r.get("interpretation_confidence_default"), r.get("interpretation_reason_template"))
+        for k, r in enumerate(doc.get("rules") or [])
+    ]
+    return spark.createDataFrame(rows, RULES)
+
+
+def risk_of_rules(rules: DataFrame) -> DataFrame:
+    """(ground_type, flags): those of the first rule of each ground type, in file order."""
+    from pyspark.sql import functions as F
+
+    return rules.groupBy(F.col("engineering_ground_type").alias("ground_type")).agg(F.min_by("risk_flags", "row_no").alias("flags"))
+
+
+def code_table(spark: SparkSession, doc: Mapping[str, Any], section: str) -> DataFrame:
+    """A mapping of codes from a document, such as an ontology: (code, payload as JSON text)."""
     return spark.createDataFrame([(str(k), json.dumps(v, ensure_ascii=False, default=str)) for k, v in (doc.get(section) or {}).items()], "code string, payload string")
 
 
+@dataclass(frozen=True)
+class KnowledgeBase:
+    """All tables that the inference chain looks up, and the names its steps refer to them by."""
+
+    l1: DataFrame
+    l2: DataFrame
+    risk: DataFrame
+    properties: DataFrame
+    advice: DataFrame
+    sources: DataFrame
+    rules: DataFrame
+    ontology: DataFrame
+    risk_dictionary: DataFrame
+    names: dict[str, str] = field(default_factory=dict)
+
+
+def load(spark: SparkSession, files: Mapping[str, str] | None = None, repaired: bool = False) -> KnowledgeBase:
+    """The knowledge base from files by role: ``l1``, ``l2`` (CSV), ``l3``, ``l4``, ``sources``, ``rules``,
+    ``ontology``, ``risk_dictionary`` (YAML).  Without a file, L1, L2 and the risk flags are the default
+    tables and the others are empty."""
+    files = dict(files or {})
+    unknown = set(files) - {"l1", "l2", "l3", "l4", "sources", "rules", "ontology", "risk_dictionary"}
+    if unknown:
+        raise ValueError(f"unknown knowledge files: {sorted(unknown)}")
+    doc = {role: read_yaml(spark, path) or {} for role, path in files.items() if role not in ("l1", "l2")}
+    of = lambda role: doc.get(role, {})
+    rules = rules_table(spark, of("rules"))
+    return KnowledgeBase(
+        l1=read_csv(spark, files["l1"], L1_COLUMNS, L1_REPAIRED if repaired else ()) if "l1" in files else default_l1(spark, repaired),
+        l2=read_csv(spark, files["l2"], L2_COLUMNS) if "l2" in files else default_l2(spark),
+        risk=risk_of_rules(rules) if "rules" in files else risk_table(spark),
+        properties=properties_table(spark, of("l3")),
+        advice=advice_table(spark, of("l4")),
+        sources=sources_table(spark, of("sources")),
+        rules=rules,
+        ontology=code_table(spark, of("ontology"), "classes"),
+        risk_dictionary=code_table(spark, of("risk_dictionary"), "flags"),
+        names={role: path.rstrip("/").rpartition("/")[2] for role, path in files.items()},
+    )
+
+
 def flatten_paths(doc: Any, path: str = "") -> list[tuple[str, str]]:
     """(dotted path, text) of every scalar of a document."""
     if isinstance(doc, dict):

@@ -7,6 +7,10 @@ last line counts.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,6 +76,52 @@ def asset_index(found: DataFrame, region: Column) -> DataFrame:
     )
 
 
+def write_pictures(figures: DataFrame, folder: str) -> DataFrame:
+    """Write each figure as a file below a folder that all executors see: (asset_id, file)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names = []
+            for region, asset, ext, raw in zip(b["source_region"], b["asset_id"], b["format"], b["content"]):
+                os.makedirs(f"{folder}/{region}", exist_ok=True)
+                names.append(f"{region}/{asset}.{ext}")
+                with open(f"{folder}/{names[-1]}.part", "wb") as f:
+                    f.write(raw)
+                os.replace(f"{folder}/{names[-1]}.part", f"{folder}/{names[-1]}")  # a task run again does no harm
+            yield b[["asset_id"]].assign(file=names)
+
+    return figures.select("source_region", "asset_id", "format", "content").mapInPandas(run, "asset_id string, file string")
+
+
+def previews(figures: DataFrame, side: int = 1000) -> DataFrame:
+    """figures with ``preview_png``: a picture of at most ``side`` pixels; null where it can't be made (no
+    imaging library, a codec it lacks)."""
+    @F.pandas_udf("binary")
+    def shrink(raws: pd.Series) -> pd.Series:
+        try:
+            from PIL import Image
+        except ImportError:
+            return pd.Series([None] * len(raws))
+        import io
+
+        out = []
+        for raw in raws:
+            try:
+                im = Image.open(io.BytesIO(raw))
+                im.thumbnail((side, side))
+                done = io.BytesIO()
+                im.convert("RGB").save(done, "PNG")
+                out.append(done.getvalue())
+            except Exception:  # noqa: BLE001  (whatever the library can't read has no preview)
+                out.append(None)
+        return pd.Series(out)
+
+    return figures.withColumn("preview_png", shrink("content"))
+
+
+def preview_count(shown: DataFrame) -> DataFrame:
+    return shown.agg(F.count_if(F.length("preview_png") > 0).alias("previews_png"))
+
+
 def text_index(texts: DataFrame) -> DataFrame:
     """From ``sources.pdf.extract_texts``: size, quality, whether it can be read, the beginning."""
     q = text_quality(F.col("text"))

@@ -1,4 +1,9 @@
-"""Attribute maps of source files to the fixed columns of a unit, by the sheet's field profile."""
+"""Attribute maps of source files to the fixed columns of a unit, by the sheet's field profile.
+
+Attributes are texts beside the type of their field (C text, N and F numbers, L truth value, ...; text where
+no type is known).  Defined results: null, blank and, in fields of numbers and truth values, zero and
+false count as missing; a text "0" is a value.
+"""
 
 from __future__ import annotations
 
@@ -21,34 +26,48 @@ def sheet_table(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
     return spark.createDataFrame(rows, "source_region string, source_map_name string, sheet_file string, sheet_order int, " + ", ".join(f"f_{f} array<string>" for f in fields))
 
 
-def values(attributes: Column, names: Column) -> Column:
-    """The values of the named fields that are neither null, blank nor zero, stripped."""
-    got = F.transform(names, lambda n: F.try_element_at(attributes, n))
-    return F.filter(F.transform(F.filter(got, lambda v: nonblank(v) & ~v.isin("0", "0.0")), strip), lambda v: v != "")
+def values(attributes: Column, types: Column, names: Column) -> Column:
+    """The values of the named fields that are not missing, stripped."""
+    zero = lambda n, v: F.coalesce(F.try_element_at(types, n), F.lit("C")).isin("N", "F", "L") & v.isin("0", "0.0", "-0.0", "false")
+    got = F.transform(names, lambda n: F.struct(n.alias("n"), F.try_element_at(attributes, n).alias("v")))
+    kept = F.filter(got, lambda x: nonblank(x["v"]) & ~zero(x["n"], x["v"]))
+    return F.filter(F.transform(kept, lambda x: strip(x["v"])), lambda v: v != "")
+
+
+def first_value(attributes: Column, types: Column, names: Column) -> Column:
+    return F.coalesce(F.get(values(attributes, types, names), F.lit(0)), F.lit(""))
+
+
+def joined(attributes: Column, types: Column, names: Column) -> Column:
+    return F.array_join(F.array_distinct(values(attributes, types, names)), " / ")
 
 
-def first_value(attributes: Column, names: Column) -> Column:
-    return F.coalesce(F.get(values(attributes, names), F.lit(0)), F.lit(""))
+def json_text(c: Column) -> Column:
+    """A text as JSON writes it."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
-def joined(attributes: Column, names: Column) -> Column:
-    return F.array_join(F.array_distinct(values(attributes, names)), " / ")
+def typed_json(attributes: Column, types: Column) -> Column:
+    """The attributes as a JSON object in which numbers and truth values are such."""
+    plain = lambda e: F.coalesce(F.try_element_at(types, e["key"]), F.lit("C")).isin("N", "F", "L")
+    member = lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.when(e["value"].isNull(), "null").when(plain(e), e["value"]).otherwise(json_text(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(attributes), member), ","), F.lit("}"))
 
 
 def normalize(shapes: DataFrame, sheets: DataFrame) -> DataFrame:
     """Rows of the shapefile source joined to their sheet: ids, raw columns, attributes as JSON.
     Shapes without geometry are left out; the others keep their position in the file."""
-    a = F.col("attributes")
+    a, t = F.col("attributes"), F.coalesce("field_types", F.create_map().cast("map<string,string>"))
     rows = shapes.where(F.size("rings") > 0).join(small(sheets), F.col("source_file") == F.col("sheet_file"))
     return rows.select(
         F.format_string("%s_A_%04d", "source_region", "shape_index").alias("feature_id"),
         "source_region", "source_map_name", "source_file", "sheet_order", "shape_index", "rings", "crs",
-        first_value(a, F.col("f_code")).alias("raw_unit_code"),
-        first_value(a, F.col("f_name")).alias("raw_unit_name_ja"),
-        first_value(a, F.col("f_name_e")).alias("raw_unit_name_en"),
-        joined(a, F.col("f_litho")).alias("raw_lithology"),
-        joined(a, F.col("f_litho_e")).alias("raw_lithology_en"),
-        joined(a, F.col("f_age")).alias("raw_age"),
-        joined(a, F.col("f_age_e")).alias("raw_age_en"),
-        F.to_json("attributes").alias("source_attribute_json"),
+        first_value(a, t, F.col("f_code")).alias("raw_unit_code"),
+        first_value(a, t, F.col("f_name")).alias("raw_unit_name_ja"),
+        first_value(a, t, F.col("f_name_e")).alias("raw_unit_name_en"),
+        joined(a, t, F.col("f_litho")).alias("raw_lithology"),
+        joined(a, t, F.col("f_litho_e")).alias("raw_lithology_en"),
+        joined(a, t, F.col("f_age")).alias("raw_age"),
+        joined(a, t, F.col("f_age_e")).alias("raw_age_en"),
+        typed_json(a, t).alias("source_attribute_json"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoflow.functions.text import nonblank
@@ -18,6 +18,43 @@ def ground_layer(features: DataFrame, types: list[str] | None = None) -> DataFra
     return features.where(F.col("engineering_ground_type").isin(types)) if types else features
 
 
+def ground_types(features: DataFrame) -> DataFrame:
+    return features.where(nonblank("engineering_ground_type")).select("engineering_ground_type").distinct().orderBy("engineering_ground_type")
+
+
+def type_counts(features: DataFrame) -> DataFrame:
+    return features.groupBy("engineering_ground_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "engineering_ground_type")
+
+
+def codes_of(labels: DataFrame, lang: str, chosen: list[str]) -> DataFrame:
+    """(code): the codes whose label in a language was chosen; labels: (code, lang, label)."""
+    return labels.where((F.col("lang") == lang) & F.col("label").isin(chosen)).select("code").distinct()
+
+
+def with_preview(assets: DataFrame) -> DataFrame:
+    """Figures that can be shown."""
+    return assets.where(F.coalesce(F.length("preview_png"), F.lit(0)) > 0)
+
+
+#: The badge of each confidence, and of none.
+BADGES, NO_BADGE = {"high": "🟢", "medium": "🟡", "low": "🟠", "very_low": "🔴"}, "⚪"
+
+
+def badge(confidence: Column) -> Column:
+    out = F.lit(NO_BADGE)
+    for level, sign in BADGES.items():
+        out = F.when(confidence == level, sign).otherwise(out)
+    return out
+
+
+def chain_rows(cards: DataFrame, lang: str = "en") -> DataFrame:
+    """A row per step of each card, last layer first, with its title in a language and its badge."""
+    from lithoflow.operators.inference import display_order
+
+    rows = cards.select("geology_unit_card_id", F.posexplode(display_order(F.col("chain"))).alias("shown", "s"))
+    return rows.select("geology_unit_card_id", "shown", "s.step", F.col(f"s.title_{lang}").alias("title"), badge(F.col("s.confidence")).alias("badge"), "s.knowledge_ref", "s.outputs", "s.evidence", F.transform("s.sources", lambda x: x["id"]).alias("source_ids"))
+
+
 def unit_labels(cards: DataFrame) -> DataFrame:
     label = F.concat(F.col("source_region"), F.lit(" · "), F.col("raw_unit_name_ja"), F.lit(" ("), F.col("raw_unit_code"), F.lit(") → "), F.col("engineering_ground_type"))
     return cards.select("geology_unit_card_id", label.alias("label"))

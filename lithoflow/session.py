@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, tmp, True)
     path = f"{tmp}/lithoflow_package.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
+        for f in sorted(p for p in root.rglob("*") if p.suffix in (".py", ".csv")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(path)
 
@@ -35,20 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is made only where none is set (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.  Only a local session, whose
+    executors are the driver, may do without: it gets a folder of its own, removed at its end.  On a cluster
+    a missing folder is an error, as a machine's own would be lost with the machine."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = os.path.join(tempfile.gettempdir(), f"lithoflow-checkpoint-{os.getuid()}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lithoflow-checkpoint-")
+        atexit.register(shutil.rmtree, named, True)
     spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there: computed once, and
-    still readable when an executor is lost."""
+    still readable when an executor is lost.  The files go when the frame is no longer used, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set (a setting of the application)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -13,7 +13,8 @@ import tempfile
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,13 +53,28 @@ def write_csv_file(df: DataFrame, path: str, columns: list[str] | None = None) -
     return n
 
 
-def write_json_file(df: DataFrame, path: str) -> int:
-    """One indented array; characters beyond ASCII stay as they are."""
+def opened(v: Any, members: tuple[str, ...], within: bool = False) -> Any:
+    """A value in which JSON texts below the named members are what they say."""
+    if isinstance(v, dict):
+        return {k: opened(x, members, within or k in members) for k, x in v.items()}
+    if isinstance(v, list):
+        return [opened(x, members, within) for x in v]
+    if within and isinstance(v, str) and v[:1] in ("{", "["):
+        try:
+            return json.loads(v)
+        except ValueError:
+            return v
+    return v
+
+
+def write_json_file(df: DataFrame, path: str, nested: tuple[str, ...] = ()) -> int:
+    """One indented array; characters beyond ASCII stay as they are.  ``nested``: members below which texts
+    that hold JSON are written as what they say."""
     n = 0
     with open(path, "w", encoding="utf-8") as f:
         f.write("[")
         for n, row in enumerate(rows_of(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))), 1):
-            f.write(("," if n > 1 else "") + "\n" + json.dumps(json.loads(row.j), ensure_ascii=False, indent=2))
+            f.write(("," if n > 1 else "") + "\n" + json.dumps(opened(json.loads(row.j), nested), ensure_ascii=False, indent=2))
         f.write("\n]\n")
     return n
 
@@ -125,6 +141,16 @@ def gpkg_blob(wkb: bytes, srs_id: int) -> bytes:
     return b"GP" + struct.pack("<BBi", 0, 1, srs_id) + wkb
 
 
+def gpkg_column(polygons: Column, srs_id: int) -> Column:
+    """The blob of each shape, encoded on the executors in Arrow batches."""
+
+    @F.pandas_udf("binary")
+    def encode(shapes: pd.Series) -> pd.Series:
+        return pd.Series([gpkg_blob(wkb_multipolygon([] if s is None else s), srs_id) for s in shapes])
+
+    return encode(polygons)
+
+
 #: The tables a GeoPackage must have.
 GPKG_TABLES = """
 CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER NOT NULL PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
@@ -133,6 +159,10 @@ CREATE TABLE gpkg_geometry_columns (table_name TEXT NOT NULL, column_name TEXT N
 """
 
 
+#: Fixed value: the definition of the geographic system a GeoPackage must list.
+WGS84 = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+
+
 def sql_type(kind: T.DataType) -> str:
     if isinstance(kind, (T.BooleanType, T.IntegralType)):
         return "INTEGER"
@@ -148,20 +178,17 @@ def write_gpkg(path: str, layers: dict[str, DataFrame], geom: str = "rings", srs
         db = sqlite3.connect(f"{tmp}/build.gpkg")
         db.executescript(GPKG_TABLES)
         db.execute("PRAGMA application_id = 0x47504B47")
-        srs = [("Undefined cartesian", -1, "NONE", -1, "undefined", None), ("Undefined geographic", 0, "NONE", 0, "undefined", None), (f"EPSG:{srs_id}", srs_id, "EPSG", srs_id, srs_wkt, None)]
+        db.execute("PRAGMA user_version = 10200")
+        srs = [("Undefined cartesian", -1, "NONE", -1, "undefined", None), ("Undefined geographic", 0, "NONE", 0, "undefined", None), ("WGS 84 geodetic", 4326, "EPSG", 4326, WGS84, None)]
+        srs += [(f"EPSG:{srs_id}", srs_id, "EPSG", srs_id, srs_wkt, None)] if srs_id not in (-1, 0, 4326) else []
         db.executemany("INSERT INTO gpkg_spatial_ref_sys VALUES (?,?,?,?,?,?)", srs)
         for name, df in layers.items():
             names = [f.name for f in df.schema.fields if f.name != geom]
             kinds = {f.name: f.dataType for f in df.schema.fields}
             db.execute(f"CREATE TABLE {quoted(name)} (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom BLOB{''.join(f', {quoted(c)} {sql_type(kinds[c])}' for c in names)})")
             shown = [F.to_json(c).alias(c) if isinstance(kinds[c], NESTED) else F.col(c).cast("int").alias(c) if isinstance(kinds[c], T.BooleanType) else F.col(c).cast("string").alias(c) if sql_type(kinds[c]) == "TEXT" else F.col(c) for c in names]
-            rows = df.select(polygons(F.col(geom)).alias("_polygons"), *shown)
-
-            def encoded(rows: DataFrame = rows) -> Iterator[tuple[Any, ...]]:
-                for r in rows_of(rows):
-                    yield (gpkg_blob(wkb_multipolygon(r[0] or []), srs_id), *r[1:])
-
-            for b in batches(encoded()):
+            rows = df.select(gpkg_column(polygons(F.col(geom)), srs_id).alias("_geom"), *shown)
+            for b in batches(rows_of(rows)):
                 db.executemany(f"INSERT INTO {quoted(name)} (geom{''.join(f', {quoted(c)}' for c in names)}) VALUES (?{', ?' * len(names)})", b)
             box = df.select(bbox(F.col(geom)).alias("b")).agg(F.min("b.lon_min"), F.min("b.lat_min"), F.max("b.lon_max"), F.max("b.lat_max")).first()
             db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, min_x, min_y, max_x, max_y, srs_id) VALUES (?,'features',?,?,?,?,?,?)", (name, name, *box, srs_id))
