@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithoflow.operators import rules as R
+from lithoflow.session import cut
 
 #: The terms that an old age turns into other ground.
 OLD_COARSE, OLD_FINE = ("L1_litho_gravel", "L1_litho_sand"), ("L1_litho_mud_silt",)
@@ -137,6 +138,7 @@ def with_chain(inferred: DataFrame, properties: DataFrame | None = None, advice:
         out = out.join(R.small(own), "ground_type", "left")
     refs = {"l1_source_ref": c("l1_source_ref"), "l2_source_ref": c("l2_source_ref"), "l3_source_ref": c("_l3.source_ref")}
     out = out.withColumns({k: v for k, v in refs.items() if k not in out.columns})
+    out = cut(out)  # it is read for its references, too
     known = resolved(out.select(F.explode(F.array(*refs)).alias("ref")), sources)
     for k in refs:
         out = out.join(known.select(c("ref").alias(k), c("sources").alias(f"_{k}")), k, "left")

@@ -47,10 +47,14 @@ def json_text(c: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
+#: A text that JSON can hold as a number or truth value.
+PLAIN_JSON = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false)$"
+
+
 def typed_json(attributes: Column, types: Column) -> Column:
     """The attributes as a JSON object in which numbers and truth values are such."""
     plain = lambda e: F.coalesce(F.try_element_at(types, e["key"]), F.lit("C")).isin("N", "F", "L")
-    member = lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.when(e["value"].isNull(), "null").when(plain(e), e["value"]).otherwise(json_text(e["value"])))
+    member = lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.when(e["value"].isNull(), "null").when(plain(e) & e["value"].rlike(PLAIN_JSON), e["value"]).otherwise(json_text(e["value"])))
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(attributes), member), ","), F.lit("}"))
 
 

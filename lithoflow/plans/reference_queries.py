@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithoflow.config import Sheet
 from lithoflow.functions import geometry as G
-from lithoflow.functions.text import first_of, join_distinct, nonblank, text_quality
-from lithoflow.operators import assets, cards, inference, localise, point_query, proximity, rules
+from lithoflow.functions.text import nonblank, text_quality
+from lithoflow.operators import assets, boundaries, cards, inference, localise, normalize, point_query, proximity, rules
 from lithoflow.session import table
+from lithoflow.sources import pdf
 
 c = F.col
 
@@ -26,7 +28,16 @@ def shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_units(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d).select("feature_id", first_of(c("raw_unit_code"), c("source_region")).alias("code"), first_of(c("raw_unit_name_ja"), c("raw_unit_name_en")).alias("name"), join_distinct(c("raw_unit_name_ja"), c("raw_unit_name_en"), c("raw_unit_name_ja")).alias("names"), join_distinct(c("raw_lithology"), c("raw_age")).alias("description"))
+    """The features as rows of a shapefile, every sheet with the same field profile."""
+    names = {"Symbol": "raw_unit_code", "MAJOR_CODE": "source_region", "LEGEND04": "raw_unit_name_ja", "LEGEND03": "raw_unit_name_en", "LEGEND05": "raw_lithology", "LEGEND01": "raw_age", "LEGEND02": "raw_unit_name_en"}
+    own = features(spark, d)
+    attributes = F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[c(v) for v in names.values()]))
+    types = F.create_map(F.lit("MAJOR_CODE"), F.lit("N"))
+    shapes = own.select("source_file", F.regexp_extract("feature_id", "([0-9]+)$", 1).cast("int").alias("shape_index"), c("geom").alias("rings"), F.lit("x").alias("crs"), attributes.alias("attributes"), types.alias("field_types"))
+    profile = normalize.sheet_table(spark, [Sheet("", "", "", "", "gsj_1984")]).drop("source_region", "source_map_name", "sheet_file", "sheet_order")
+    sheets = own.groupBy(c("source_file").alias("sheet_file")).agg(F.min("source_region").alias("source_region"), F.min("source_map_name").alias("source_map_name")).withColumn("sheet_order", F.lit(0)).crossJoin(F.broadcast(profile))  # one row
+    done = normalize.normalize(shapes, sheets)
+    return done.select("feature_id", "source_file", "raw_unit_code", "raw_unit_name_ja", "raw_unit_name_en", "raw_lithology", "raw_age", F.get_json_object("source_attribute_json", "$.LEGEND05").alias("legend")).distinct()
 
 
 def rule_two_pass(spark: SparkSession, d: str) -> DataFrame:
@@ -42,9 +53,42 @@ def inference_chain_flat(spark: SparkSession, d: str) -> DataFrame:
     return inferred(spark, d).select("name", "litho", "age", "term_id", "keyword", "field", "material", "grain", "age_refined", "map_id", "family", "ground_type", "l1_confidence", "l2_confidence", "overall_confidence", "needs_manual_review")
 
 
+def ground_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(properties, advice, risk) by ground type, made from the tables there are; some types lack them."""
+    own = table(spark, d, "l2_geology_to_geotech").where("engineering_ground_type is not null")
+    per = own.groupBy(c("engineering_ground_type").alias("ground_type")).agg(F.min("geotech_term_en").alias("en"), F.min("geotech_term_ja").alias("ja"), F.min(F.trim("source_ref")).alias("source_ref"), F.count(F.lit(1)).alias("n"))
+    none = F.create_map().cast("map<string,string>")
+    properties = per.where("ground_type < 's'").select("ground_type", c("en").alias("summary_en"), F.create_map(F.lit("n"), c("n").cast("string")).alias("mechanical"), none.alias("chemical"), F.array("ja").alias("key_concerns_en"), F.lit(False).alias("design_use"), F.concat_ws(";", "source_ref", F.lit("NOT_THERE")).alias("source_ref"))
+    advice = per.where("ground_type > 'c'").select("ground_type", none.alias("applications"), F.array("en").alias("recommended_investigation"), c("ja").alias("residual_uncertainty"))
+    flags = table(spark, d, "geotech_features").where("geotechnical_risk_flags like '[%' and engineering_ground_type is not null")
+    flags = flags.select(c("engineering_ground_type").alias("ground_type"), F.explode(F.from_json("geotechnical_risk_flags", "array<string>")).alias("flag")).where("flag is not null").distinct()
+    return properties, advice, flags.groupBy("ground_type").agg(F.array_sort(F.collect_list("flag")).alias("flags"))
+
+
+def chained(spark: SparkSession, d: str) -> DataFrame:
+    properties, advice, risk = ground_tables(spark, d)
+    terms, l2 = table(spark, d, "l1_geology_terms"), table(spark, d, "l2_geology_to_geotech")
+    done = inference.infer(features(spark, d), terms, l2, risk, coarse_terms=c("grain") == "coarse", fine_terms=c("grain") == "fine")
+    return inference.with_chain(done, properties, advice, table(spark, d, "knowledge_sources"))
+
+
 def chain_display_order(spark: SparkSession, d: str) -> DataFrame:
-    chained = inference.with_chain(inferred(spark, d))
-    return chained.select("name", "litho", "age", inference.chain_text(inference.display_order(c("chain"))).alias("chain_text"))
+    return chained(spark, d).select("name", "litho", "age", inference.chain_text(inference.display_order(c("chain"))).alias("chain_text"))
+
+
+def chain_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of every unit's chain, with its evidence, sources and some of its inputs and outputs."""
+    rows = chained(spark, d).select("name", "litho", "age", F.explode("chain").alias("s"))
+    of = lambda k: F.array_join(F.transform("s.sources", lambda x: x[k]), ";")
+    some = lambda part, *ks: F.coalesce(*[c(f"s.{part}")[k] for k in ks])
+    return rows.select(
+        "name", "litho", "age", "s.step", "s.knowledge_ref", "s.matched_keyword", "s.confidence", F.array_join("s.evidence", " | ").alias("evidence"), of("id").alias("source_ids"), of("tier").alias("source_tiers"),
+        some("inputs", "consolidation", "engineering_ground_type", "raw_age").alias("given"), some("outputs", "typical_consolidation", "geotech_term_ja", "key_concerns_en", "residual_uncertainty").alias("got"), F.size("s.outputs").alias("n_outputs"),
+    )
+
+
+def unit_risk_flags(spark: SparkSession, d: str) -> DataFrame:
+    return chained(spark, d).select("name", "litho", "age", "ground_type", F.array_join("risk_flags", ";").alias("risk_flags"))
 
 
 def manual_review(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +106,13 @@ def worst_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def risk_flags_exploded(spark: SparkSession, d: str) -> DataFrame:
-    flags = F.from_json("geotechnical_risk_flags", "array<string>")
-    return table(spark, d, "geotech_features").where(c("geotechnical_risk_flags").startswith("[")).select(F.explode(flags).alias("flag")).where(c("flag").isNotNull()).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    text = F.trim("geotechnical_risk_flags")
+    flags = F.when(text.startswith("["), F.from_json("geotechnical_risk_flags", "array<string>")).otherwise(F.split(text, ";"))
+    return table(spark, d, "geotech_features").select(F.explode(flags).alias("flag")).select(F.trim("flag").alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def source_refs_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return inference.source_refs(table(spark, d, "l2_geology_to_geotech").select("map_id", "source_ref").distinct(), "map_id", "source_ref", table(spark, d, "knowledge_sources"))
+    return inference.source_refs(table(spark, d, "l2_geology_to_geotech").select("map_id", "source_ref").distinct(), "map_id", "source_ref", table(spark, d, "knowledge_sources")).drop("url")
 
 
 def own_cards(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +155,15 @@ def points_batch_query(spark: SparkSession, d: str) -> DataFrame:
     return point_query.answer(points(spark, d), boxes, shapes(spark, d)).select(c("point_id").alias("query_id"), "regions", "found", "message", c("shape_id").alias("feature_id"), F.round("distance_m", 0).alias("distance_m"), "raw_unit_code")
 
 
+def points_card_query(spark: SparkSession, d: str) -> DataFrame:
+    """The answers with the ground and the card of the feature."""
+    boxes = proximity.rectangles(table(spark, d, "region_boundaries"), "region", "nominal_quadrangle")
+    links = table(spark, d, "geotech_features").groupBy(c("feature_id").alias("shape_id")).agg(F.min(F.struct("engineering_ground_type", "geology_unit_card_id")).alias("l")).select("shape_id", "l.*")
+    cards_ = table(spark, d, "inference_chains").groupBy("geology_unit_card_id").agg(F.min("overall_confidence").alias("card_confidence"), F.min(F.length("chain")).alias("chain_length"))
+    got = point_query.with_cards(point_query.answer(points(spark, d), boxes, shapes(spark, d)), links, cards_)
+    return got.select(c("point_id").alias("query_id"), "found", c("shape_id").alias("feature_id"), "engineering_ground_type", "geology_unit_card_id", "card_confidence", "chain_length")
+
+
 def haversine(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select(c("point_id").alias("query_id"), F.round(G.haversine_m(c("lon"), c("lat"), F.lit(139.5), F.lit(35.5)), 2).alias("metres"))
 
@@ -125,8 +179,9 @@ def vertex_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def region_extents(spark: SparkSession, d: str) -> DataFrame:
-    own = features(spark, d).where(F.size("geom") > 0).select(F.coalesce("source_region", F.lit("")).alias("region"), G.bbox(c("geom")).alias("b"))
-    return own.groupBy("region").agg(F.count(F.lit(1)).alias("n_polygons"), F.min("b.lon_min").alias("lon_min"), F.min("b.lat_min").alias("lat_min"), F.max("b.lon_max").alias("lon_max"), F.max("b.lat_max").alias("lat_max"))
+    own = features(spark, d).select(F.coalesce("source_region", F.lit("")).alias("source_region"), c("geom").alias("rings"))
+    box = lambda k, name: [c(f"{k}.{x}").alias(f"{name}_{x}") for x in ("lon_min", "lat_min", "lon_max", "lat_max")]
+    return boundaries.compute(own).select("region", "n_polygons", *box("actual_data_bbox", "data"), *box("nominal_quadrangle", "frame"))
 
 
 def snap_quad(spark: SparkSession, d: str) -> DataFrame:
@@ -149,17 +204,17 @@ def text_quality_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
-    q = text_quality(c("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").alias("chars"), ((q >= 0.85) & (F.length("text") > 200)).alias("readable"), F.substring("text", 1, 800).alias("text_sample"))
+    texts = table(spark, d, "documents").where("text is not null").select(c("doc_id").cast("string").alias("source_pdf"), F.coalesce("page_no", F.lit(1)).alias("pages_est"), "text")
+    return assets.text_index(texts)
 
 
 def dedupe_first_by_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5("text").alias("hash"))
-    return rows.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+    return assets.first_of_copies(rows, ["hash"], [c("doc_id")])
 
 
 def figure_rank_top80(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "pdf_asset_index").where("n_bytes is not null").select("source_pdf", "asset_id", "n_bytes").distinct()
+    own = table(spark, d, "pdf_asset_index").select("source_pdf", "asset_id", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes")).distinct()
     return assets.ranked(own, "source_pdf", [F.desc("n_bytes"), c("asset_id")])
 
 
@@ -169,12 +224,21 @@ def content_guess(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_estimate(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "pdf_asset_index").where("n_bytes is not null")
-    return own.select("asset_id", assets.page_estimate(F.floor(c("n_bytes") / 2), F.sequence(F.lit(10000).cast("long"), F.greatest(F.lit(10000).cast("long"), c("n_bytes")), F.lit(20000).cast("long"))).alias("page"))
+    """Line ends as page marks: the page of the first digit of a text."""
+    own = table(spark, d, "documents").where("text is not null")
+    lengths = F.transform(F.split("text", "\\n", -1), lambda x: F.length(x) + 1)
+    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    marks = F.slice(ends, 2, F.greatest(F.lit(0), F.size(ends) - 2))  # the last part has no line end
+    first = F.length(F.regexp_extract("text", "^([^0-9]*)", 1)) + 1
+    return own.select("doc_id", assets.page_estimate(first, marks).alias("page"))
 
 
 def marker_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_count("text", F.lit(r"[0-9]+\.[0-9]+")).alias("n_numbers"), F.regexp_count("text", F.lit(r"\n")).alias("n_breaks"))
+    """Marks of pages and scans in the bytes of files made from the documents' numbers."""
+    own = table(spark, d, "documents").where("doc_id is not null")
+    body = F.concat(F.lit("%PDF "), F.repeat(F.lit("<< /Type /Page >> << /Type /Pages >> "), F.pmod("doc_id", F.lit(7)).cast("int")), F.repeat(F.lit("/JBIG2Decode "), F.pmod("doc_id", F.lit(5)).cast("int")), F.repeat(F.lit("/CCITTFault "), F.pmod("doc_id", F.lit(3)).cast("int")))
+    files = own.select(c("doc_id").cast("string").alias("source_pdf"), F.encode(body, "UTF-8").alias("content"))
+    return pdf.extract_texts(files).select("source_pdf", "pages_est", "jbig2_scanned", "ccitt_scanned", "text").distinct()
 
 
 def curated_last_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +251,7 @@ def count_by_region(spark: SparkSession, d: str) -> DataFrame:
 
 
 def most_common(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "pdf_asset_index").where("content_type_guess is not null").groupBy("content_type_guess").agg(F.count(F.lit(1)).alias("n"), F.min("asset_id").alias("first_asset"))
+    own = table(spark, d, "pdf_asset_index").groupBy(F.coalesce("content_type_guess", F.lit("")).alias("content_type_guess")).agg(F.count(F.lit(1)).alias("n"), F.min("asset_id").alias("first_asset"))
     return own.orderBy(F.desc("n"), "first_asset")
 
 
@@ -228,7 +292,7 @@ def build_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    normalize_units, rule_two_pass, inference_chain_flat, chain_display_order, manual_review, wildcard_translate, worst_confidence, risk_flags_exploded, source_refs_lookup, unit_cards, feature_card_join, card_assets_top12,
-    region_for_point, bbox_filter, point_in_polygon, first_polygon, points_batch_query, haversine, polygon_area, vertex_centroid, region_extents, snap_quad, sample_line, outer_hole_grouping,
+    normalize_units, rule_two_pass, inference_chain_flat, chain_display_order, manual_review, wildcard_translate, worst_confidence, chain_steps, unit_risk_flags, risk_flags_exploded, source_refs_lookup, unit_cards, feature_card_join, card_assets_top12,
+    region_for_point, bbox_filter, point_in_polygon, first_polygon, points_batch_query, points_card_query, haversine, polygon_area, vertex_centroid, region_extents, snap_quad, sample_line, outer_hole_grouping,
     text_quality_scores, text_blocks, dedupe_first_by_hash, figure_rank_top80, content_guess, page_estimate, marker_counts, curated_last_wins, count_by_region, most_common, value_counts, labelled_count, localise_codes, json_props, union_assets, build_summary,
 )
