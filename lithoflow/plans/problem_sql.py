@@ -94,6 +94,15 @@ n as (select record_id, field_name, len(list_filter(regexp_split_to_array(regexp
   from f where value is not null and record_id is not null and not regexp_matches(value, '{BROKEN}|{FOREIGN}|{SIGNS}') and not regexp_matches(translate(value, '{LIKE_LATIN}', ''), '[\\x{{400}}-\\x{{52F}}]'))
 select record_id, field_name, cast(unnest(range(1, n + 1)) as integer) as pos from n where n > 1"""
 
+AROUND = f"[\\s\\p{{Z}}\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}{INVISIBLE}]+"
+# every text is cut into spans, delimiters and single characters; delimiters become a mark to split at
+P6_VALUES = f"""with f as (select feature_id as record_id, 'raw_lithology' as field_name, raw_lithology as value from geology_features union select term_id, 'match_keywords_ja', match_keywords_ja from l1_geology_terms union select map_id, 'geotech_synonyms_ja', geotech_synonyms_ja from l2_geology_to_geotech),
+g as (select *, regexp_matches(value, '{BROKEN}|{FOREIGN}|{SIGNS}') or regexp_matches(translate(value, '{LIKE_LATIN}', ''), '[\\x{{400}}-\\x{{52F}}]') as garbled from f where value is not null and record_id is not null),
+t as (select record_id, field_name, case when garbled then [value] else string_split(array_to_string(list_transform(regexp_extract_all(value, '(?s)(?:{P6_SPANS})|{P6_SPLIT}|.'), lambda x: case when regexp_matches(x, '^(?:{P6_SPLIT})$') then chr(1) else x end), ''), chr(1)) end as xs from g),
+v as (select record_id, field_name, list_transform(list_filter(xs, lambda x: regexp_matches(x, '[^\\s\\p{{Z}}\\x{{0B}}\\x{{85}}{INVISIBLE}]')), lambda x: regexp_replace(x, '^{AROUND}|{AROUND}$', '', 'g')) as items from t),
+u as (select record_id, field_name, unnest(items) as item, unnest(range(1, len(items) + 1)) as pos, len(items) as n from v)
+select distinct record_id, field_name, pos::integer as pos, item, n::integer as n_values from u"""
+
 SQL = {
     "p1_found": P1,
     "p1_steps": card_sql(
@@ -108,6 +117,7 @@ SQL = {
     "p1_vertices": P1_VERTICES,
     "p5_orphan_report": P5_REPORT,
     "p6_found": P6,
+    "p6_values": P6_VALUES,
     "p3_found": f"""with {POINTS}, {VERTICES}, {HITS}, {REGIONS}, {NEAR}
 select 'near' as kind, query_id, cast(other as varchar) as other_id from near union all select 'sheet', query_id, region from regs union all select distinct 'feature', query_id, feature_id from hits""",
     "p5_found": " union all ".join(
