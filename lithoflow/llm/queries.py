@@ -47,6 +47,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_forms(spark, d).select("table_name", "record_id", "field_name").distinct()
 
 
+def p7_stable(spark: SparkSession, d: str) -> DataFrame:
+    """(table_name, field_name, n_values, n_unstable): the distinct values, and how many of them have a form
+    that the same rewriter would change again."""
+    fields = p7_fields(spark, d).where(nonblank("value")).select("table_name", "field_name", "value").distinct()
+    values = lookalike.clean_values(fields, known_words(spark, d))
+    rewriter = lookalike.fit(values)
+    forms = cut(lookalike.forms(values, rewriter))
+    again = lookalike.forms(forms.select(F.col("form").alias("value")).distinct(), rewriter).select(F.col("value").alias("form"), F.lit(1).alias("unstable"))
+    marked = fields.join(forms.join(again, "form").select("value", "unstable"), "value", "left")
+    return marked.groupBy("table_name", "field_name").agg(F.count_distinct("value").alias("n_values"), F.count("unstable").alias("n_unstable"))
+
+
 def p4_matched(spark: SparkSession, d: str) -> DataFrame:
     """(record_id, field_name, pos, item, ref_id) of all values that are not a label as they stand."""
     names = geology_fields(spark, d, "raw_unit_name_ja", "raw_lithology")
@@ -87,6 +99,24 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packed(spark, d))
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, placed, whole, within): whether a document is in containers, all its tokens are there and it is cut
+    only if it must be, and none of its containers holds more than its capacity."""
+    docs, most = counted(spark, d), max(capacities(spark, d), default=0)
+    packed_ = cut(packing.pack(docs, capacities(spark, d)))
+    over = packed_.where("container_id is not null").groupBy("container_id").agg((F.sum("n_tokens") <= F.max("capacity_tokens")).alias("fits"))
+    per = packed_.join(over, "container_id", "left").groupBy("doc_id").agg(F.count("container_id").alias("n"), F.sum("n_tokens").alias("got"), F.min(F.coalesce("fits", F.lit(True))).alias("within"))
+    whole = (F.col("got") == F.col("n_tokens")) & (F.col("n") <= F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / most)))
+    return docs.join(per, "doc_id", "left").select("doc_id", (F.col("n") > 0).alias("placed"), whole.alias("whole"), "within")
+
+
+def p9_targets(spark: SparkSession, d: str) -> DataFrame:
+    """(source, target_share, scaled_share, max_repeats, within_repeats, near_target): what the mix holds of what
+    it was to hold; near is within 0.05 of all tokens."""
+    s = p9_shares(spark, d)
+    return s.select("source", "target_share", F.round("scaled_share", 9).alias("scaled_share"), "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("reached_share") - F.col("scaled_share")) < 0.05).alias("near_target"))
+
+
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     docs = counted(spark, d)
     return mixing.mix(docs, mixing.plan_table(spark, mixing.plan(docs, table(spark, d, "mix_targets"))))
@@ -110,6 +140,13 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return offensive.sentences(table(spark, d, "documents"), p10_model(spark, d)).distinct()
 
 
+def p10_scored(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, in_range, has_sentence, agrees): every document has a score of 0 to 1, a likeliest sentence where it
+    has text, and offending sentences only with a score above 0."""
+    s = p10_scores(spark, d)
+    return s.select("doc_id", F.col("score").between(0, 1).alias("in_range"), F.col("worst").isNotNull().alias("has_sentence"), ((F.col("n_offending") == 0) | (F.col("score") > 0)).alias("agrees")).distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("n_offending > 0").select("doc_id").distinct()
 
