@@ -21,10 +21,24 @@ from lithoflow.functions.damage import looks_garbled
 #: Characters that are not seen; they may stand inside a conjunction.
 INVISIBLE = r"\x{A0}\x{AD}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
 _I = f"[{INVISIBLE}]*"
-#: Spans that are not split.  Brackets may hold one level of brackets.
+#: How deep brackets of one kind may stand in each other.
+DEPTH = 8
+
+
+def nested(opening: str, closing: str, depth: int = DEPTH) -> str:
+    """A pattern of a bracketed span with brackets inside.  The quantifiers give nothing back, so long spans
+    take no stack."""
+    plain = f"[^{opening}{closing}]"
+    out = f"{opening}{plain}*+{closing}"
+    for _ in range(depth - 1):
+        out = f"{opening}(?:{plain}++|{out})*+{closing}"
+    return out
+
+
+#: Spans that are not split.
 SPANS = "|".join(
     [r'"[^"]*"', "＂[^＂]*＂", "“[^”]*”", "「[^」]*」", "『[^』]*』", "【[^】]*】", "〔[^〕]*〕", "｢[^｣]*｣"]
-    + [r"\((?:[^()]|\([^()]*\))*\)", "（(?:[^（）]|（[^（）]*）)*）", r"\[[^\[\]]*\]", "［[^［］]*］", r"(?<![A-Za-z])'[^']*'(?![A-Za-z])"]
+    + [nested(r"\(", r"\)"), nested("（", "）"), nested(r"\[", r"\]"), nested("［", "］"), r"(?<![A-Za-z])'[^']*'(?![A-Za-z])"]
 )
 #: Single delimiters, and the conjunctions that mean "and".
 DELIMITERS = r"、,，､﹐;；﹔/／∕|｜・･‧∙\t\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}+＋&＆"
@@ -34,8 +48,9 @@ SPLIT = "[" + DELIMITERS + "]|" + "|".join(CONJUNCTIONS)
 OPENING = r"""["'＂“「『【〔｢(（\[［]"""
 #: Something to be seen.
 SEEN = rf"(?U)[^\s{INVISIBLE}]"
-#: Marks of a placeholder: the first of these noncharacters that the text lacks.
-MARKS = [chr(0xFDD0 + k) for k in range(16)]
+#: Noncharacters that a placeholder's mark is made of: the second, more of the first than stand together
+#: anywhere in the text, the second.  So no text can hold its own mark.
+INNER, OUTER = chr(0xFDD0), chr(0xFDD1)
 
 
 #: White space and invisible characters around a value.
@@ -46,9 +61,8 @@ def split_values(c: Column, garbled: Column | None = None, trim: str = AROUND) -
     """The values of a packed text, in order, without what ``trim`` matches around them; null for null.
     ``garbled``: where true, the text is one value (by default, where it looks garbled)."""
     garbled = looks_garbled(c) if garbled is None else garbled
-    mark = F.lit(MARKS[-1])
-    for m in reversed(MARKS[:-1]):
-        mark = F.when(~F.contains(c, F.lit(m)), F.lit(m)).otherwise(mark)
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit(f"({INNER}+)"), F.lit(1)), F.length)), F.lit(0))
+    mark = F.concat(F.lit(OUTER), F.repeat(F.lit(INNER), F.when(F.contains(c, F.lit(INNER)), longest).otherwise(0) + 1), F.lit(OUTER))
 
     def pieces(b: Column) -> Column:
         mark, spans, gaps = b["mark"], b["spans"], b["gaps"]

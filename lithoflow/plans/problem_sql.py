@@ -87,7 +87,7 @@ r as (select feature_id, unnest(geom) as ring, generate_subscripts(geom, 1) - 1
 select feature_id, '/shape/parts/0/rings/' || r as parent_id, '/shape/parts/0/rings/' || r || '/' || v as row_id, cast(r as integer) as parent_pos, cast(v as integer) as pos, p.lon as lon, p.lat as lat from v where p.lon is not null or p.lat is not null"""
 
 # without the lookarounds that DuckDB's expressions lack; no field has what they guard against
-P6_SPANS = "|".join(x for x in SPANS.split("|") if "?<!" not in x).replace("'", "''")
+P6_SPANS = SPANS[: SPANS.rindex("|")].replace("++", "+").replace("*+", "*").replace("'", "''")
 P6_SPLIT = "[" + DELIMITERS + "]|" + "|".join([*CONJUNCTIONS[:-1], r"\s(?i:and)\s"])
 P6 = f"""with f as (select feature_id as record_id, 'raw_lithology' as field_name, raw_lithology as value from geology_features union select term_id, 'match_keywords_ja', match_keywords_ja from l1_geology_terms union select map_id, 'geotech_synonyms_ja', geotech_synonyms_ja from l2_geology_to_geotech),
 n as (select record_id, field_name, len(list_filter(regexp_split_to_array(regexp_replace(value, '{P6_SPANS}', 'Q', 'g'), '{P6_SPLIT}'), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}{INVISIBLE}]'))) as n

@@ -16,6 +16,8 @@ CASES = {
     "Made ground": ["Made ground"],
     "砂 + 礫": ["砂", "礫"],
     "((a,b),c);d": ["((a,b),c)", "d"],
+    "(1,(2,(3,(4,(5,(6,(7,(8,8)))))))),x;(y": ["(1,(2,(3,(4,(5,(6,(7,(8,8))))))))", "x", "(y"],
+    "".join(map(chr, range(0xFDD0, 0xFDE0))) + "(a,b)," + chr(0xFDD1) + chr(0xFDD0) * 3 + chr(0xFDD1): ["".join(map(chr, range(0xFDD0, 0xFDE0))) + "(a,b)", chr(0xFDD1) + chr(0xFDD0) * 3 + chr(0xFDD1)],
     "﷐a,b﷐": ["﷐a", "b﷐"],
     "ﾎ�ｱ､ﾂ": ["ﾎ�ｱ､ﾂ"],
     "  ": [],
@@ -32,6 +34,11 @@ def test_cases(spark):
     assert split(spark, [*CASES, None]) == [*CASES.values(), None]
 
 
+def test_a_long_span(spark):
+    span = "(" + "x,(y);" * 30000 + ")"
+    assert split(spark, [f"a,{span},b"]) == [["a", span, "b"]]
+
+
 def test_long_text_and_positions(spark):
     long = ",".join(f"v{k}" for k in range(20000))
     df = spark.createDataFrame([("a", "f", long, 1), ("b", "f", "x;y", 2), ("b", "f", "x;y", 2), ("c", "f", "x", 3), (None, "f", "x;y", 4), ("d", "f", None, 5)], "record_id string, field_name string, value string, pos int")
