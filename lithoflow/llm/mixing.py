@@ -21,6 +21,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithoflow.operators.rules import small
+
 SLICES = 4096
 
 
@@ -93,7 +95,7 @@ def plan_table(spark: SparkSession, rows: list) -> DataFrame:
 def mix(counted: DataFrame, planned: DataFrame, seed: int = 20240501) -> DataFrame:
     """(doc_id, source, n_tokens, copy, shuffle_key) in the order of the mix; copies count from 0."""
     n = F.size(F.filter("limits", lambda x: F.col("u") >= x))
-    docs = counted.where("n_tokens > 0").join(F.broadcast(planned), "source").withColumn("u", uniform("doc_id", seed)).withColumn("uses", n).where("uses > 0")
+    docs = counted.where("n_tokens > 0").join(small(planned), "source").withColumn("u", uniform("doc_id", seed)).withColumn("uses", n).where("uses > 0")
     copies = docs.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)).alias("copy"))
     return copies.withColumn("shuffle_key", F.xxhash64("doc_id", "copy", F.lit(seed + 1))).orderBy("shuffle_key", "doc_id", "copy")
 

@@ -1,8 +1,9 @@
 """Documents packed into containers of several fixed capacities, with little room left.
 
 Variable-capacity best-fit, largest first: an item goes into the open container with the least room
-that holds it; where none does, a new one is opened, and its size is chosen jointly for all capacities
-by packing the group under each opening rule and keeping the cheapest.  At the end every container is
+that holds it; where none does, a new one is opened at the capacity that costs least for each token it
+will hold.  The group is also packed with each capacity preferred throughout, and the cheapest result is
+kept.  At the end every container is
 downsized to the smallest capacity that holds its contents.  The cost of a container is its capacity
 plus ``open_cost``.
 
@@ -27,14 +28,22 @@ GROUP = 20_000
 PACKED = "doc_id long, piece int, n_tokens long, container_id string, capacity_tokens int, position int"
 
 
-def best_fit(sizes: Sequence[int], capacities: Sequence[int], rule: int) -> tuple[list[int], list[int]]:
-    """(container of each item, contents of each container) of items in decreasing order.  Rule k opens
-    the k-th smallest capacity that holds the item, or the largest."""
+def least_cost(size: int, rest: int, capacities: Sequence[int], open_cost: float) -> int:
+    """The capacity that costs least for each token it will hold, if what is left of the items fills it."""
+    return min((c for c in capacities if c >= size), key=lambda c: ((c + open_cost) / min(c, size + rest), c))
+
+
+def best_fit(sizes: Sequence[int], capacities: Sequence[int], rule: int | None, open_cost: float = 1.0) -> tuple[list[int], list[int]]:
+    """(container of each item, contents of each container) of items in decreasing order.  Without a rule, each
+    container is opened at the least-cost capacity; rule k opens the k-th smallest capacity that holds the
+    item, or the largest."""
+    rest = sum(sizes)
     room_of: dict[int, list[int]] = {}
     open_rooms = 0  # bit r: there is a container with r tokens of room
     where, used = [], []
     cap_of: list[int] = []
     for s in sizes:
+        rest -= s
         fit = open_rooms >> s
         if fit:
             room = s + (fit & -fit).bit_length() - 1
@@ -43,7 +52,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], rule: int) -> tupl
                 open_rooms &= ~(1 << room)
         else:
             holds = [c for c in capacities if c >= s]
-            room = holds[min(rule, len(holds) - 1)]
+            room = least_cost(s, rest, capacities, open_cost) if rule is None else holds[min(rule, len(holds) - 1)]
             k = len(used)
             used.append(0)
             cap_of.append(room)
@@ -59,8 +68,8 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], rule: int) -> tupl
 def pack_group(items: pd.DataFrame, capacities: Sequence[int], open_cost: float) -> pd.DataFrame:
     items = items.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
     best = None
-    for rule in range(len(capacities)):
-        where, used = best_fit(items["n_tokens"].tolist(), capacities, rule)
+    for rule in (None, *range(len(capacities))):
+        where, used = best_fit(items["n_tokens"].tolist(), capacities, rule, open_cost)
         final = [min(c for c in capacities if c >= u) for u in used]
         cost = sum(final) + open_cost * len(final)
         if best is None or cost < best[0]:
