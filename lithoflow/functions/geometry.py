@@ -20,11 +20,11 @@ def project_m(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Col
     return (lon - lon0) * (RAD * EARTH_M) * F.cos(lat0 * RAD), (lat - lat0) * (RAD * EARTH_M)
 
 
-def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_M) -> Column:
     """Great-circle metres; rounding beyond the antipode is clamped."""
     half = lambda x: F.pow(F.sin(x * (RAD / 2)), F.lit(2.0))
     a = half(lat2 - lat1) + F.cos(lat1 * RAD) * F.cos(lat2 * RAD) * half(lon2 - lon1)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
 def rotate(ring: Column) -> Column:
@@ -59,18 +59,6 @@ def signed_area_deg(ring: Column) -> Column:
     return total(cross) / 2
 
 
-def point_in_rings(lon: Column, lat: Column, rings: Column) -> Column:
-    """Even-odd over all rings with the half-open rule: a vertex belongs to the edge above it."""
-
-    def crosses(p: Column, q: Column) -> Column:
-        over = (p["lat"] > lat) != (q["lat"] > lat)
-        left = lon < (q["lon"] - p["lon"]) * (lat - p["lat"]) / (q["lat"] - p["lat"]) + p["lon"]
-        return F.when(over & left, 1).otherwise(0)
-
-    per_ring = F.transform(rings, lambda r: F.aggregate(F.zip_with(r, rotate(r), crosses), F.lit(0), lambda a, x: a + x))
-    return F.aggregate(per_ring, F.lit(0), lambda a, x: a + x) % 2 == 1
-
-
 def bbox(rings: Column) -> Column:
     """struct<lon_min, lat_min, lon_max, lat_max> over all vertices."""
     vertices = F.flatten(rings)

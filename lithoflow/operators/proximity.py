@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoflow.functions.geometry import haversine_m
 from lithoflow.session import cut
 
 RADIUS_M = 6371008.8
@@ -36,11 +37,6 @@ def locations(df: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
     return df.select(F.col(key).alias("point_id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).where(ok & F.col("point_id").isNotNull()).distinct()
 
 
-def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_M) -> Column:
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
-
-
 def near_pairs(points: DataFrame, metres: float, cell_factor: float = 2.0) -> DataFrame:
     """(a, b) with a < b: all pairs of point ids at most ``metres`` apart on the sphere."""
     cell = metres * cell_factor
@@ -70,10 +66,19 @@ def near_pairs(points: DataFrame, metres: float, cell_factor: float = 2.0) -> Da
     low, high = column(F.col("lon1") - wide, F.col("n")), column(F.col("lon1") + wide, F.col("n"))
     probe = probe.withColumn("raw", F.explode(F.sequence(low, F.least(high, low + F.col("n") - 1))))
     probe = probe.select("a", "lat1", "lon1", "row", F.pmod("raw", F.col("n")).alias("col"))
-    near = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= metres
+    near = haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"), RADIUS_M) <= metres
     return probe.join(home, ["row", "col"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def near_spots(points: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): near pairs (a, b) of spots, and the spot of every point (point_id, spot).  A spot is
+    the points of exactly one place, named after its smallest id, so a crowded place gives one spot and no
+    pairs within; every pair of points is two members of one spot or of two near ones."""
+    spots = points.groupBy("lat", "lon").agg(F.min("point_id").alias("spot"))
+    members = points.join(spots, ["lat", "lon"]).select("point_id", "spot")
+    return near_pairs(spots.select(F.col("spot").alias("point_id"), "lat", "lon"), metres), members
+
+
 def rectangles(df: DataFrame, key: str, box: str) -> DataFrame:
     """(shape_id, lon_min, lat_min, lon_max, lat_max) of the boxes without nulls, each row once."""
     cols = ("lon_min", "lat_min", "lon_max", "lat_max")

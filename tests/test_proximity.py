@@ -96,3 +96,12 @@ def test_measures(spark):
     assert tuple(snapped) == (139.25, 35.666667)
     line = spark.range(1).select(G.sample_line(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.001), 50.0).alias("l")).first().l
     assert len(line) == 4 and line[-1].lon == 0.001
+
+
+def test_spots_of_crowded_places(spark):
+    rows = [(k, 35.0, 139.0) for k in range(2000)] + [(5000, 35.00005, 139.0), (6000, 35.001, 139.0)]
+    points = spark.createDataFrame(rows, "point_id long, lat double, lon double")
+    pairs, members = P.near_spots(points, 12.0)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 5000)]
+    sizes = {r.spot: r["count"] for r in members.groupBy("spot").count().collect()}
+    assert sizes == {0: 2000, 5000: 1, 6000: 1}
