@@ -19,16 +19,21 @@ PART = 200_000
 
 
 @lru_cache(4)
-def encoding(path: str):  # noqa: ANN201
+def encoding(vocabulary: bytes):  # noqa: ANN201
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count(text: str, path: str = RANKS) -> int:
-    enc = encoding(path)
+@lru_cache(4)
+def read(path: str = RANKS) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def count(text: str, vocabulary: bytes | None = None) -> int:
+    enc = encoding(read() if vocabulary is None else vocabulary)
     if len(text) <= PART:
         return len(enc.encode_ordinary(text))
     n, at = 0, 0
@@ -42,13 +47,17 @@ def count(text: str, path: str = RANKS) -> int:
     return n
 
 
-def counted(documents: DataFrame, path: str = RANKS) -> DataFrame:
+def counted(documents: DataFrame, path: str | None = None) -> DataFrame:
     """documents with (doc_id, text, ...) -> (doc_id, source, n_tokens), a row per doc_id; null and
-    empty texts have 0 tokens.  Where an id has several texts the longest counts."""
+    empty texts have 0 tokens.  Where an id has several texts the longest counts.  The vocabulary is read by the
+    driver, from the path given or named in ``spark.lithoflow.tokenizer``, and sent to the workers."""
+    spark = documents.sparkSession
+    sent = spark.sparkContext.broadcast(read(path or spark.conf.get("spark.lithoflow.tokenizer", RANKS)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = sent.value
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [count(t, path) if t else 0 for t in b["text"]]}).astype({"n_tokens": "int64"})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [count(t, vocabulary) if t else 0 for t in b["text"]]}).astype({"n_tokens": "int64"})
 
     rows = documents.where("doc_id is not null").select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, n_tokens long")
     return rows.groupBy("doc_id").agg(F.max_by("source", "n_tokens").alias("source"), F.max("n_tokens").alias("n_tokens"))
