@@ -99,7 +99,7 @@ class Element:
     """An element of the schema graph.  ``kids``: members; ``inner``: the element of a list inside this
     list, ``nested`` there.  ``table`` and what follows it are set once the whole graph is known."""
 
-    __slots__ = ("name", "path", "up", "kids", "inner", "nested", "many", "plain", "structured", "again", "table", "column", "deep", "cells")
+    __slots__ = ("name", "path", "up", "kids", "inner", "nested", "many", "plain", "structured", "again", "table", "column", "deep", "cells", "shapes")
 
     def __init__(self, name: str, path: str, up: Element | None, nested: bool = False) -> None:
         self.name, self.path, self.up, self.nested = name, path, up, nested
@@ -108,6 +108,7 @@ class Element:
         self.many = self.plain = self.structured = self.again = False
         self.table: str | None = None
         self.column = "value"  # where its plain value goes
+        self.shapes: dict[tuple, list[tuple[str, Element]]] = {}  # members and their types, as met before -> those to go into
         self.deep: list[tuple[str, Element]] = []  # members at or below which there are tables
         self.cells: list[tuple[str, Element]] = []  # members that are inlined
 
@@ -143,16 +144,20 @@ def learn(v: Any, e: Element) -> None:
     while todo:
         v, e = todo.pop()
         if type(v) is dict:
-            e.structured = True
-            for k, x in v.items():
-                if x is None:
-                    continue
-                t = type(x)
-                if t is dict or t is list:
-                    todo.append((x, e.member(k, True)))
-                else:
-                    kid = e.kids.get(k) or e.member(k, False)
-                    kid.plain = True
+            shape = (tuple(v), tuple(map(type, v.values())))
+            inner = e.shapes.get(shape)
+            if inner is None:
+                e.structured = True
+                inner = []
+                for k, x in v.items():
+                    if type(x) in (dict, list):
+                        inner.append((k, e.member(k, True)))
+                    elif x is not None:
+                        (e.kids.get(k) or e.member(k, False)).plain = True
+                if len(e.shapes) >= 10_000:  # members named by data
+                    e.shapes.clear()
+                e.shapes[shape] = inner
+            todo += [(v[k], c) for k, c in inner]
         elif type(v) is list:
             e.many = True
             for x in v:
