@@ -105,8 +105,10 @@ class Cutter:
             if form[n:] in self.endings:
                 return n, self.endings[form[n:]]
         if len(form) > FUZZY_KIND:
+            last = form[-2:]
             for e, kind in self.endings.items():
-                if len(e) >= FUZZY_KIND and e.isascii() == form.isascii():
+                # with one error at most, one of the two last characters is among the other's
+                if len(e) >= FUZZY_KIND and (e[-1] in last or e[-2] in last) and e.isascii() == form.isascii():
                     for n in (len(form) - len(e), len(form) - len(e) - 1, len(form) - len(e) + 1):
                         if 0 < n < len(form) and (" " not in form or form[n - 1] == " ") and within_one(form[n:], e):
                             return n, kind

@@ -70,10 +70,11 @@ def p4_matched(spark: SparkSession, d: str) -> DataFrame:
     trimmed = F.regexp_replace("value", plain, "")
     # most values are labels as they stand and go nowhere
     fields = fields.distinct().withColumn("item", trimmed).join(labels, "item", "left_anti").drop("item").withColumn("split", F.col("field_name") != "raw_unit_name_ja")
-    values = lookalike.clean_values(names.unionByName(keywords), known_words(spark, d)).select("value", trimmed.alias("item")).join(labels, "item", "left_anti")
-    packed_items = packed.split_values(F.col("value"), F.lit(False), plain)
-    per_value = values.select("value", F.explode(F.array(F.struct(F.lit(True).alias("split"), packed_items.alias("items")), F.struct(F.lit(False).alias("split"), F.array("item").alias("items")))).alias("x"))
-    per_value = cut(per_value.select("value", "x.split", F.posexplode("x.items").alias("p", "item")).join(labels, "item", "left_anti"))
+    values = lookalike.clean_values(names.unionByName(keywords), known_words(spark, d)).select("value")
+    # a value is cut the way its field asks for, and both ways only if both kinds of fields hold it
+    items = F.when(F.col("split"), packed.split_values(F.col("value"), F.lit(False), plain)).otherwise(F.array(trimmed))
+    per_value = fields.select("value", "split").distinct().join(values, "value").select("value", "split", F.posexplode(items).alias("p", "item"))
+    per_value = cut(per_value.join(labels, "item", "left_anti"))
     found = canonical.match(per_value.select("item").distinct(), entries)
     per_value = per_value.join(found, "item").select("value", "split", (F.col("p") + 1).cast("int").alias("pos"), "item", "ref_id")
     return fields.join(per_value, ["value", "split"]).select("record_id", "field_name", "pos", "item", "ref_id")
