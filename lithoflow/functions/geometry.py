@@ -127,3 +127,15 @@ def polygons(rings: Column) -> Column:
         return F.when(opens, F.concat(done, F.array(F.array(ring)))).otherwise(grown)
 
     return F.aggregate(full, empty, add)
+
+
+#: The type numbers of shapes that are polygons, and lines (plain, with Z, with M).
+POLYGON_TYPES, LINE_TYPES = (5, 15, 25), (3, 13, 23)
+
+
+def is_polygon(shape_type: Column) -> Column:
+    return F.coalesce(shape_type.isin(*POLYGON_TYPES), F.lit(False))
+
+
+def is_line(shape_type: Column) -> Column:
+    return F.coalesce(shape_type.isin(*LINE_TYPES), F.lit(False))
