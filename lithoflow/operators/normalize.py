@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithoflow.config import PROFILES, Sheet
-from lithoflow.functions.text import nonblank, strip
+from lithoflow.functions.text import strip
 from lithoflow.operators.rules import small
 
 
@@ -26,20 +26,24 @@ def sheet_table(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
     return spark.createDataFrame(rows, "source_region string, source_map_name string, sheet_file string, sheet_order int, " + ", ".join(f"f_{f} array<string>" for f in fields))
 
 
-def values(attributes: Column, types: Column, names: Column) -> Column:
-    """The values of the named fields that are not missing, stripped."""
-    zero = lambda n, v: F.coalesce(F.try_element_at(types, n), F.lit("C")).isin("N", "F", "L") & v.isin("0", "0.0", "-0.0", "false")
-    got = F.transform(names, lambda n: F.struct(n.alias("n"), F.try_element_at(attributes, n).alias("v")))
-    kept = F.filter(got, lambda x: nonblank(x["v"]) & ~zero(x["n"], x["v"]))
-    return F.filter(F.transform(kept, lambda x: strip(x["v"])), lambda v: v != "")
+def present(attributes: Column, types: Column) -> Column:
+    """The attributes that are not missing, stripped: made once per row, whatever asks for them."""
+    zero = lambda e: F.coalesce(F.try_element_at(types, e["key"]), F.lit("C")).isin("N", "F", "L") & e["value"].isin("0", "0.0", "-0.0", "false")
+    stripped = F.transform(F.map_entries(attributes), lambda e: F.struct(e["key"].alias("key"), strip(e["value"]).alias("value")))
+    return F.map_from_entries(F.filter(stripped, lambda e: F.coalesce(e["value"] != "", F.lit(False)) & ~zero(e)))
 
 
-def first_value(attributes: Column, types: Column, names: Column) -> Column:
-    return F.coalesce(F.get(values(attributes, types, names), F.lit(0)), F.lit(""))
+def values(present: Column, names: Column) -> Column:
+    """The values of the named fields that are there."""
+    return F.filter(F.transform(names, lambda n: F.try_element_at(present, n)), lambda v: v.isNotNull())
 
 
-def joined(attributes: Column, types: Column, names: Column) -> Column:
-    return F.array_join(F.array_distinct(values(attributes, types, names)), " / ")
+def first_value(present: Column, names: Column) -> Column:
+    return F.coalesce(F.get(values(present, names), F.lit(0)), F.lit(""))
+
+
+def joined(present: Column, names: Column) -> Column:
+    return F.array_join(F.array_distinct(values(present, names)), " / ")
 
 
 def json_text(c: Column) -> Column:
@@ -63,15 +67,15 @@ def normalize(shapes: DataFrame, sheets: DataFrame) -> DataFrame:
     Shapes without geometry are left out; the others keep their position in the file."""
     a, t = F.col("attributes"), F.coalesce("field_types", F.create_map().cast("map<string,string>"))
     rows = shapes.where(F.size("rings") > 0).join(small(sheets), F.col("source_file") == F.col("sheet_file"))
-    return rows.select(
+    return rows.withColumn("_present", present(a, t)).select(
         F.format_string("%s_A_%04d", "source_region", "shape_index").alias("feature_id"),
         "source_region", "source_map_name", "source_file", "sheet_order", "shape_index", "rings", "crs",
-        first_value(a, t, F.col("f_code")).alias("raw_unit_code"),
-        first_value(a, t, F.col("f_name")).alias("raw_unit_name_ja"),
-        first_value(a, t, F.col("f_name_e")).alias("raw_unit_name_en"),
-        joined(a, t, F.col("f_litho")).alias("raw_lithology"),
-        joined(a, t, F.col("f_litho_e")).alias("raw_lithology_en"),
-        joined(a, t, F.col("f_age")).alias("raw_age"),
-        joined(a, t, F.col("f_age_e")).alias("raw_age_en"),
+        first_value(F.col("_present"), F.col("f_code")).alias("raw_unit_code"),
+        first_value(F.col("_present"), F.col("f_name")).alias("raw_unit_name_ja"),
+        first_value(F.col("_present"), F.col("f_name_e")).alias("raw_unit_name_en"),
+        joined(F.col("_present"), F.col("f_litho")).alias("raw_lithology"),
+        joined(F.col("_present"), F.col("f_litho_e")).alias("raw_lithology_en"),
+        joined(F.col("_present"), F.col("f_age")).alias("raw_age"),
+        joined(F.col("_present"), F.col("f_age_e")).alias("raw_age_en"),
         typed_json(a, t).alias("source_attribute_json"),
     )
